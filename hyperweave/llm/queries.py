@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hyperweave.llm.chat_format import chat_digests
 from hyperweave.llm.common import documents
+from hyperweave.llm.language_id import identify
+from hyperweave.llm.media_columns import media_columns
 from hyperweave.llm.minhash_dedup import near_duplicates
 from hyperweave.llm.sentencepiece_codec import encode_documents
+from hyperweave.llm.suffix_dedup import removed_digests
+from hyperweave.llm.toxicity import toxicity
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -15,10 +21,36 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_digests(documents(spark, sf_dir), length=50)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: The conversation that shows that control strings inside texts survive.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return chat_digests(rows.unionByName(extra))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -48,7 +80,12 @@ FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.s) LEFT JOIN comp ON c
 """
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_media_columns": op6_media_columns,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_chat_format": op9_chat_format,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {
