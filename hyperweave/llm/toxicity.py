@@ -1,15 +1,17 @@
 """Toxicity by two class-conditional Kneser-Ney models over words, toxic and ordinary.
 
-    P_c(w | v) = max(n_c(v, w) - D, 0) / n_c(v) + D types_c(v) / n_c(v) P_c(w)
-    P_c(w)     = max(k_c(w) - E, 0) / K_c + E types_c / K_c P(w)
+    P_c(w | v) = max(n_c(v, w) - D, 0) / n_c(v) + back(v) P_c(w)
+    P_c(w)     = max(k_c(w) - D, 0) / K_c + rest_c P(w)
 
-n_c counts word pairs of class c, k_c(w) the distinct words before w in class c, and the base P(w), which both classes share,
-comes from the counts of w in all documents that may be read for it. So a rare expression falls back on the same counts in
-both models and says little. A document's feature is the mean over its words of log P_toxic - log P_ordinary, and a logistic
-curve fitted on labelled rows of another fold turns it into a score.
+n_c counts word pairs of class c and k_c(w) the distinct words before w in class c. What both classes share: the weight
+back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents that may be read for it. So an
+expression that is rare in both classes (under a cutoff in proportion to the sample) falls back on the same counts in both
+models and says little. A document's feature is log P_toxic - log P_ordinary by its length in words, and a rising curve
+fitted on labelled rows of another fold turns it into the chance of being labelled toxic.
 
 Words are runs of letters (bytes from 0x80 on count as letters) with A-Z lower-cased. Both models are fitted on at most
-ROWS_PER_CLASS labelled rows of each class, the curve on CURVE_ROWS; the shared counts cover all documents outside fold 0.
+ROWS_PER_CLASS labelled rows of each class, as many of one as of the other where both have some; the curve on CURVE_ROWS of
+each, weighed as the classes are among all labelled rows. The shared counts cover all documents outside fold 0.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 from hyperweave.llm.common import groups, in_fold, mix, range_hashes, texts, written
 
 #: Labelled rows of each class that the models are fitted on, and of each class that the curve is.
-ROWS_PER_CLASS, CURVE_ROWS = 6000, 1500
+ROWS_PER_CLASS, CURVE_ROWS = 6000, 2000
 DISCOUNT = 0.75
+#: An expression counts in a class from one in so many of the class's on, and twice at least.
+RARE = 12_000
+#: Words that say nothing, added to each text: a mean over a handful of words is mostly chance.
+PRIOR_WORDS = 20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,89 +91,85 @@ def _bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Sorted tables: for words the log ratio and the weight their context gives to backing off, for pairs the whole log ratio."""
+    """Sorted tables of log ratios, for words and for pairs, and the log ratio of any other word."""
 
     word: np.ndarray
     ratio: np.ndarray
-    back: np.ndarray
     pair: np.ndarray
     pair_ratio: np.ndarray
     unseen: float
-    slope: float = 0.0
-    level: float = 0.0
+    at: tuple[float, ...] = (0.0,)
+    chance: tuple[float, ...] = (0.0,)
 
     def features(self, docs: list[bytes]) -> np.ndarray:
-        """Mean log ratio of the words of each text, 0 without words."""
+        """Log ratio of the words of each text over their number and PRIOR_WORDS more, 0 without words."""
         h, bounds = words(docs)
         if not len(h) or not len(self.word):
             return np.zeros(len(docs))
         key, _ = pairs(h, bounds)
         at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        known = self.word[at] == h
-        value = np.where(known, self.ratio[at], self.unseen)
-        back = np.where(known, self.back[at], 0.0)
-        value[1:] += np.where(key[1:] != 0, back[:-1], 0.0)
+        value = np.where(self.word[at] == h, self.ratio[at], self.unseen)
         if len(self.pair):
             at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             value = np.where(self.pair[at] == key, self.pair_ratio[at], value)
         sums = np.r_[0.0, np.cumsum(value)][bounds]
-        return np.diff(sums) / np.maximum(np.diff(bounds), 1)
+        return np.diff(sums) / (np.diff(bounds) + PRIOR_WORDS)
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
-        x = np.clip(self.slope * self.features(docs) + self.level, -50, 50)
-        return 1 / (1 + np.exp(-x))
+        return np.interp(self.features(docs), self.at, self.chance)
 
 
 def _estimate(labelled: DataFrame, shared: DataFrame) -> Model:
     """Both models from (text, toxic) and the counts (w, n) of all documents."""
     grams = written(labelled.mapInArrow(_bigrams, "v long, w long, ordinary long, toxic long").groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "bigrams")
-    sign = lambda c: F.sum(F.signum(c).cast("long"))
-    kinds = grams.groupBy("w").agg(sign("ordinary").alias("k0"), sign("toxic").alias("k1"))
-    contexts = grams.where("v != 0").groupBy("v").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), sign("ordinary").alias("t0"), sign("toxic").alias("t1"))
-    total = kinds.agg(F.sum("k0"), F.sum("k1"), F.sum(F.signum("k0")), F.sum(F.signum("k1"))).first()
+    sign = lambda c: F.signum(c).cast("long")
+    kinds = grams.groupBy("w").agg(F.sum(sign("ordinary")).alias("k0"), F.sum(sign("toxic")).alias("k1"))
+    contexts = grams.where("v != 0").groupBy("v").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.count("*").alias("types"))
+    total = kinds.agg(F.sum("k0"), F.sum("k1")).first()
     if not total or not total[0] or not total[1]:
-        return Model(*(np.empty(0),) * 5, unseen=0.0)
+        return Model(*(np.empty(0),) * 4, unseen=0.0)
+    least = max(2, round(min(total) / RARE))
     everything = shared.agg(F.sum("n"), F.count("*")).first()
-    # A word seen once in one class is as good as unseen; what follows it isn't.
-    useful = kinds.where("k0 + k1 > 1").join(contexts.withColumnRenamed("v", "w"), "w", "left").join(shared, "w", "left").fillna(0)
-    frame = useful.select("w", "k0", "k1", "n0", "n1", "t0", "t1", "n").toPandas()
-    common = grams.where("v != 0 and ordinary + toxic > 1").select("v", "w", "ordinary", "toxic").toPandas()
+    useful = kinds.where(F.greatest("k0", "k1") >= least).join(shared, "w", "left").fillna(0)
+    frame = useful.select("w", "k0", "k1", "n").toPandas().sort_values("w", key=lambda x: x.to_numpy().view(np.uint64), ignore_index=True)
     word = frame["w"].to_numpy().view(np.uint64)
-    order = np.argsort(word)
-    word, cols = word[order], {c: frame[c].to_numpy().astype(float)[order] for c in frame.columns[1:]}
-    base = (cols["n"] + 1) / ((everything[0] or 0) + (everything[1] or 0) + 1)
-    low, gap, gamma = [], [], []
+    base = (frame["n"].to_numpy() + 1) / ((everything[0] or 0) + (everything[1] or 0) + 1)
+    low, rest = [], []
     for c in (0, 1):
-        gap.append(DISCOUNT * float(total[2 + c]) / float(total[c]))
-        low.append(np.maximum(cols[f"k{c}"] - DISCOUNT, 0) / float(total[c]) + gap[c] * base)
-        gamma.append(np.where(cols[f"n{c}"] > 0, DISCOUNT * cols[f"t{c}"] / np.maximum(cols[f"n{c}"], 1), 1.0))
-    ratio, back = np.log(low[1] / low[0]), np.log(gamma[1] / gamma[0])
+        own = np.maximum(frame[f"k{c}"].to_numpy() - DISCOUNT, 0) / total[c]
+        rest.append(1 - own.sum())
+        low.append(own + rest[c] * base)
+    common = grams.where((F.col("v") != 0) & (F.greatest("ordinary", "toxic") >= least)).join(contexts.where("n0 > 0 and n1 > 0"), "v").select("v", "w", "ordinary", "toxic", "n0", "n1", "types").toPandas()
     v, w = (common[c].to_numpy().view(np.uint64) for c in ("v", "w"))
-    at_v, at_w = (np.minimum(np.searchsorted(word, x), len(word) - 1) for x in (v, w))
-    fits = (word[at_v] == v) & (word[at_w] == w)
-    v, w, at_v, at_w, common = v[fits], w[fits], at_v[fits], at_w[fits], common[fits]
-    high = [np.maximum(common[name].to_numpy() - DISCOUNT, 0) / np.maximum(cols[f"n{c}"][at_v], 1) + gamma[c][at_v] * low[c][at_w] for c, name in ((0, "ordinary"), (1, "toxic"))]
+    at = np.minimum(np.searchsorted(word, w), max(len(word) - 1, 0))
+    fits = word[at] == w if len(word) else np.zeros(0, dtype=bool)
+    v, w, at, common = v[fits], w[fits], at[fits], common[fits]
+    back = DISCOUNT * common["types"].to_numpy() / (common["n0"] + common["n1"]).to_numpy()
+    high = [np.maximum(common[name].to_numpy() - DISCOUNT, 0) / common[n].to_numpy() + back * low[c][at] for c, name, n in ((0, "ordinary", "n0"), (1, "toxic", "n1"))]
     key = mix(v * np.uint64(3) + w)
     order = np.argsort(key)
-    return Model(word, ratio.astype(np.float32), back.astype(np.float32), key[order], np.log(high[1] / high[0])[order].astype(np.float32), float(np.log(gap[1] / gap[0])))
+    return Model(word, np.log(low[1] / low[0]).astype(np.float32), key[order], np.log(high[1] / high[0])[order].astype(np.float32), float(np.log(rest[1] / rest[0])))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and level of a logistic curve, by Newton steps with a slight pull to 0."""
-    scale = float(x.std()) or 1.0
-    z = np.stack([x / scale, np.ones(len(x))], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve(z.T * (weight * p * (1 - p)) @ z + 1e-3 * np.eye(2), z.T @ (weight * (y - p)) - 1e-3 * beta)
-        beta += np.clip(step, -2, 2)
-        if abs(step).max() < 1e-6:
-            break
-    return float(beta[0] / scale), float(beta[1])
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The rising curve of the chance of class 1 that fits best, by pooling neighbours that fall; between pools it is linear."""
+    pools: list[list[float]] = []  # sums of weight, weighted y and weighted x
+    order = np.lexsort((y, x))
+    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
+        pools.append([w, w * b, w * a])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [i + j for i, j in zip(pools[-1], last, strict=True)]
+    # A little certainty is kept back, so that the ends still rise.
+    at = [float(x.min()) - 1, *(p[2] / p[0] for p in pools), float(x.max()) + 1]
+    chance = [pools[0][1] / pools[0][0], *(p[1] / p[0] for p in pools), pools[-1][1] / pools[-1][0]]
+    rise = np.linspace(0.0005, 0.9995, len(chance))
+    return tuple(at), tuple(float(c) for c in 0.998 * np.array(chance) + 0.002 * rise)
 
 
 def _pick(labels: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` labelled ids of each class, by a hash of the id."""
+    """At most `rows` labelled ids of each class, equally many where both have some, by a hash of the id."""
+    rows = min([rows, *(r["count"] for r in labels.groupBy("toxic").count().collect())])
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     return labels.where("toxic = 0").orderBy(order, "doc_id").limit(rows).union(labels.where("toxic = 1").orderBy(order, "doc_id").limit(rows))
 
@@ -192,11 +194,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if 0 < y.sum() < len(y):
-        # The curve's rows weigh as much as their class has among all labelled rows.
-        weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
-        model.slope, model.level = _curve(known["x"].to_numpy(), y, weight)
+        model.at, model.chance = _curve(known["x"].to_numpy(), y, np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y))
     else:
-        model.level = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        model.chance = (share,)
     return model
 
 
