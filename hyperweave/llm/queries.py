@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from hyperweave.llm.chat_format import chat_digests
 from hyperweave.llm.common import documents
 from hyperweave.llm.language_id import identify
+from hyperweave.llm.license_scan import SHINGLE, TEMPLATES, license_scan
 from hyperweave.llm.media_columns import media_columns
 from hyperweave.llm.minhash_dedup import near_duplicates
+from hyperweave.llm.quality_rules import RULES, STOP_WORDS, quality
 from hyperweave.llm.sentencepiece_codec import encode_documents
+from hyperweave.llm.source_mixing import mixture
 from hyperweave.llm.suffix_dedup import removed_digests
 from hyperweave.llm.toxicity import toxicity
 
@@ -21,10 +24,22 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(documents(spark, sf_dir))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
@@ -79,8 +94,75 @@ SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.c, sets.doc
 FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.s) LEFT JOIN comp ON comp.u = classes.rep
 """
 
+def _rules_sql() -> dict[str, str]:
+    out = {}
+    for r in RULES:
+        bounds = [f"100 * {r.count} >= {r.low} * {r.of}"] * (r.low is not None) + [f"100 * {r.count} <= {r.high} * {r.of}"] * (r.high is not None)
+        out[r.name] = " AND ".join(bounds)
+    return out
+
+
+def _quoted(items) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+OP1_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), grams AS (
+  SELECT doc_id, unnest(range(len(words) - 7)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda k: array_to_string(words[k:k + 7], ' '))) AS g
+  FROM w WHERE len(words) >= 9
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT doc_id, sum(least(8, coalesce(lead_i - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead_i FROM twice) GROUP BY doc_id
+), counts AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words,
+    list_sum(list_transform(words, lambda x: length(x)))::BIGINT AS chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words,
+    (length(t) - length(translate(t, '!?', '')))::BIGINT AS n_marks,
+    len(list_filter(words, lambda x: lower(x) IN ({_quoted(sorted(set(STOP_WORDS)))})))::BIGINT AS n_stop_words,
+    len(lines)::BIGINT AS n_lines
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id
+), judged AS (
+  SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_stop_words, n_lines,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM counts
+), named AS (
+  SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN NOT ({sql}) THEN '{name}' END" for name, sql in _rules_sql().items())}], lambda x: x IS NOT NULL), ',') AS broken FROM judged
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, n_marks, n_stop_words, n_lines, broken FROM named
+"""
+
+OP3_SQL = rf"""
+WITH templates(license, notice, t) AS (VALUES {", ".join(f"({_quoted([k])}, {i}, {_quoted([t])})" for k, v in TEMPLATES.items() for i, t in enumerate(v))}),
+texts AS (
+  SELECT 'd' AS kind, doc_id, '' AS license, 0 AS notice, lower(coalesce(text, '')) AS t FROM documents
+  UNION ALL SELECT 't', 0, license, notice, lower(t) FROM templates
+), words AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS w FROM texts
+), sets AS (
+  SELECT kind, doc_id, license, notice, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS s
+  FROM words
+), wanted AS (
+  SELECT license, notice, len(s) AS total, unnest(s) AS x FROM sets WHERE kind = 't'
+), had AS (
+  SELECT doc_id, unnest(s) AS x FROM sets WHERE kind = 'd'
+)
+SELECT doc_id, license, notice, count(*)::BIGINT AS matched, total::BIGINT AS total, count(*) / total::DOUBLE AS containment
+FROM had JOIN wanted USING (x) GROUP BY doc_id, license, notice, total HAVING 100 * count(*) >= 80 * total
+"""
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
+    "op4_source_mixing": op4_source_mixing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_suffix_dedup": op7_suffix_dedup,
@@ -89,5 +171,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {
+    "op1_quality_rules": OP1_SQL,
+    "op3_license_scan": OP3_SQL,
     "op5_minhash_dedup": OP5_SQL,
 }

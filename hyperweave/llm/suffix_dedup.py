@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -209,11 +210,16 @@ def _fetch(uri: str, name: str) -> pa.Table:
     return pq.read_table(f"{path}/{name}", filesystem=fs)
 
 
+def _rows(table: pa.Table) -> tuple[list, list[bytes]]:
+    return table.column("doc_id").to_pylist(), texts(table.column("text").combine_chunks())
+
+
 def _offer(uri: str, buckets: int, length: int):
     """Step 1: (chunk, bucket, keys); a key's last bit says that several documents of the chunk have it."""
 
-    def chunk(name: str, ids: list[int], docs: list[bytes]) -> pa.RecordBatch:
-        _store(uri, name, pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(docs, pa.binary())}))
+    def chunk(name: str, rows: pa.Table) -> pa.RecordBatch:
+        _store(uri, name, rows)
+        ids, docs = _rows(rows)
         index, _, _, key = runs(docs, length)
         owner = np.array([_LAST if i is None else i for i in ids], dtype=np.int64)[index]
         key &= ~np.uint64(1)
@@ -229,16 +235,18 @@ def _offer(uri: str, buckets: int, length: int):
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "keys"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, ids, docs, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids.append(i), docs.append(t)
-                size += len(t)
+            begin = 0
+            for end, bytes_ in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist(), 1):
+                size += bytes_
                 if size >= CHUNK:
-                    yield chunk(f"{part}-{n}", ids, docs)
-                    n, ids, docs, size = n + 1, [], [], 0
-        if ids:
-            yield chunk(f"{part}-{n}", ids, docs)
+                    yield chunk(f"{part}-{n}", pa.Table.from_batches([*held, batch.slice(begin, end - begin)]))
+                    n, held, size, begin = n + 1, [], 0, end
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield chunk(f"{part}-{n}", pa.Table.from_batches(held))
 
     return run
 
@@ -271,7 +279,7 @@ def _give(uri: str, buckets: int, length: int):
         name = table.column("chunk")[0].as_py()
         shared = np.unique(np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in table.column("keys").to_pylist()]))
         stored = _fetch(uri, name)
-        ids, docs = stored.column("doc_id").to_pylist(), stored.column("text").to_pylist()
+        ids, docs = _rows(stored)
         index, start, count, key = runs(docs, length)
         plain = key & ~np.uint64(1)
         hit = shared[np.minimum(np.searchsorted(shared, plain), len(shared) - 1)] == plain
@@ -340,13 +348,13 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _remove(uri: str, length: int, finish: Callable[[list, list, list], pa.Table]):
-    """Step 4, for a chunk: masks of removed bytes, handed to `finish` with ids and texts."""
+def _remove(uri: str, length: int, finish: Callable[[pa.Table, list, list], pa.Table]):
+    """Step 4, for a chunk: masks of removed bytes, handed to `finish` with the rows and texts."""
 
     def run(table: pa.Table) -> pa.Table:
         name = table.column("chunk")[0].as_py()
         stored = _fetch(uri, name)
-        ids, docs = stored.column("doc_id").to_pylist(), stored.column("text").to_pylist()
+        ids, docs = _rows(stored)
         masks: list[np.ndarray | None] = [None] * len(docs)
         answers = sorted((b, x, y) for b, x, y in zip(*(table.column(c).to_pylist() for c in ("bucket", "lengths", "values")), strict=True) if b >= 0)
         if answers:
@@ -365,15 +373,15 @@ def _remove(uri: str, length: int, finish: Callable[[list, list, list], pa.Table
                 gone = owner[k + np.repeat(first[string[i:j]], c)] < (_LAST if ids[d] is None else ids[d])
                 if gone.any():
                     masks[d] = covered(len(docs[d]), (k + np.repeat(start[i:j], c))[gone], length)
-        return finish(ids, docs, masks)
+        return finish(stored, docs, masks)
 
     return run
 
 
-def _steps(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
+def _steps(docs: DataFrame, length: int, finish, schema) -> DataFrame:
+    """docs: rows with doc_id and text, and whatever `finish` needs besides."""
     spark = docs.sparkSession
     uri, n = shared_dir(spark) + "/chunks", partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     offered = written(docs.mapInArrow(_offer(uri, 4 * n, length), "chunk string, bucket int, keys binary"), "keys")
     shared = offered.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, "chunk string, keys binary")
     given = written(shared.groupBy("chunk").applyInArrow(_give(uri, 16 * n, length), "chunk string, bucket int, owners binary, sizes binary, bytes binary"), "runs")
@@ -382,33 +390,33 @@ def _steps(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
     return owned.union(chunks).groupBy("chunk").applyInArrow(_remove(uri, length, finish), schema)
 
 
-def _digests(ids: list, docs: list[bytes], masks: list) -> pa.Table:
+def _digests(rows: pa.Table, docs: list[bytes], masks: list) -> pa.Table:
     size, gone, spans, kept = [], [], [], []
     for text, mask in zip(docs, masks, strict=True):
         size.append(len(text))
         gone.append(0 if mask is None else int(mask.sum()))
         spans.append(0 if mask is None else int(np.count_nonzero(np.diff(np.r_[False, mask].astype(np.int8)) == 1)))
         kept.append(hashlib.sha256(text if mask is None else np.frombuffer(text, dtype=np.uint8)[~mask].tobytes()).hexdigest())
-    return pa.table([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.table([rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept_text(ids: list, docs: list[bytes], masks: list) -> pa.Table:
+def _kept_text(rows: pa.Table, docs: list[bytes], masks: list) -> pa.Table:
     """Characters that are removed in part stay whole, so that the text stays valid."""
-    out = []
-    for text, mask in zip(docs, masks, strict=True):
+    out: list[str | None] = rows.column("text").to_pylist()
+    for k, (text, mask) in enumerate(zip(docs, masks, strict=True)):
         if mask is not None:
             data = np.frombuffer(text, dtype=np.uint8)
             char = np.cumsum((data & 0xC0) != 0x80) - 1
-            text = data[(np.bincount(char, weights=~mask) > 0)[char]].tobytes()
-        out.append(text.decode(errors="replace"))
-    return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["doc_id", "text"])
+            out[k] = data[(np.bincount(char, weights=~mask) > 0)[char]].tobytes().decode(errors="replace")
+    return rows.set_column(rows.column_names.index("text"), "text", pa.array(out, pa.string()))
 
 
 def removed_digests(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed stretches) and kept_sha256 of every row of docs (doc_id, text)."""
-    return _steps(docs, length, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _steps(rows, length, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id and the text that is left of every row of docs (doc_id, text)."""
-    return _steps(docs, length, _kept_text, "doc_id long, text string")
+    """The rows of docs, in all their columns, with what is left of their texts."""
+    return _steps(docs, length, _kept_text, docs.schema)

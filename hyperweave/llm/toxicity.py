@@ -216,3 +216,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), in_fold(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, bound: float = 0.5) -> DataFrame:
+    """The rows of docs, in all their columns, whose score is under `bound`."""
+    model = train(docs, labels)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [model.scores(g) for g in groups(texts(batch.column("text")))]
+            yield batch.filter(pa.array((np.concatenate(parts) if parts else np.empty(0)) < bound))
+
+    return docs.mapInArrow(run, docs.schema)
