@@ -37,8 +37,11 @@ class Network:
         self.weights = {"inputs": put(2, 3 * hidden, 256, scale=0.3), "recurrent": put(2, 3 * hidden, hidden, scale=hidden**-0.5), "bias": np.zeros((2, hidden, 1), dtype=np.float32), "output": put(2, labels, hidden, scale=0.3), "offset": np.zeros((labels, 1), dtype=np.float32)}
         self.hidden = hidden
 
-    def states(self, data: np.ndarray, keep: bool = False):
-        """Hidden states (2, T, H, B) of windows (T, B), the backward ones at the byte they belong to; with `keep` what a backward pass needs."""
+    def states(self, data: np.ndarray, inside: np.ndarray, keep: bool = False):
+        """Hidden states (2, T, H, B) of windows (T, B), the backward ones at the byte they belong to; with `keep` what a backward pass needs.
+
+        Bytes that aren't `inside`, the padding at the end of a text, leave the backward state at zero.
+        """
         w, h = self.weights, self.hidden
         steps, n = data.shape
         out = np.empty((2, steps, h, n), dtype=np.float32)
@@ -63,6 +66,7 @@ class Network:
             state = before - new
             state *= update
             state += new
+            state[1] *= inside[steps - 1 - t]
             out[0, t], out[1, steps - 1 - t] = state
             if keep:
                 trail.append((before, update, reset, inner, new))
@@ -81,7 +85,7 @@ class Network:
     def gradients(self, data: np.ndarray, inside: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over the bytes that are `inside` (T, B), for a label per window."""
         w, h = self.weights, self.hidden
-        out, trail = self.states(data, keep=True)
+        out, trail = self.states(data, inside, keep=True)
         d = self.probabilities(out)
         d[:, label, np.arange(len(label))] -= 1
         d *= inside[:, None, :] / max(1, inside.sum())
@@ -98,6 +102,7 @@ class Network:
             g = carry.copy()
             g[0] += above[0, t]
             g[1] += above[1, steps - 1 - t]
+            g[1] *= inside[steps - 1 - t]
             g_new = g * (1 - update) * (1 - new * new)
             g_update = g * (before - new) * update * (1 - update)
             g_reset = g_new * inner * reset * (1 - reset)
@@ -178,8 +183,9 @@ def pooled(net: Network, docs: list[bytes]) -> np.ndarray:
     left = lengths[owner] - (np.arange(len(owner)) - first[owner]) * WINDOW
     for i in range(0, data.shape[1], 2048):
         part = np.ascontiguousarray(data[:, i : i + 2048])
-        p = net.probabilities(net.states(part))
-        p *= (np.arange(WINDOW)[:, None] < left[i : i + 2048])[:, None, :]
+        inside = (np.arange(WINDOW)[:, None] < left[i : i + 2048]).astype(np.float32)
+        p = net.probabilities(net.states(part, inside))
+        p *= inside[:, None, :]
         np.add.at(total, owner[i : i + 2048], p.sum(axis=0).T)
     return total / np.maximum(lengths, 1)[:, None]
 
