@@ -16,11 +16,15 @@ def trace(assertions: DataFrame, evidence: DataFrame, start: int, depth: int = 8
     level = assertions.sparkSession.range(1).select(F.array(F.lit(0)).alias("step"), F.lit(start).cast("long").alias("id"), F.lit("assertion").alias("kind"), F.array(F.lit(start).cast("long")).alias("path"))
     out = level
     for _ in range(depth - 1):
-        level = level.join(links.withColumnRenamed("kind", "next"), "id").where(~F.array_contains("path", F.col("to")) | (F.size("path") == F.size(F.array_distinct("path")))).select(F.concat("step", F.array("n")).alias("step"), F.col("to").alias("id"), F.col("next").alias("kind"), F.concat("path", F.array("to")).alias("path"))
-        level = level.where(F.size("path") - F.size(F.array_distinct("path")) <= 1)
+        going = level.where(F.size("path") == F.size(F.array_distinct("path")))
+        level = going.join(links.withColumnRenamed("kind", "next"), "id").select(F.concat("step", F.array("n")).alias("step"), F.col("to").alias("id"), F.col("next").alias("kind"), F.concat("path", F.array("to")).alias("path"))
         out = out.union(level)
     first = out.groupBy("id").agg(F.min("step").alias("first"))
-    return out.join(first, "id").select("step", "id", F.when(F.col("step") == F.col("first"), F.col("kind")).otherwise("cycle").alias("kind"))
+    # What hangs below a repeated id isn't walked again.
+    above = out.select("step", F.posexplode("path").alias("i", "at")).where(F.col("i") < F.size("step") - 1)
+    again = above.join(first.withColumnRenamed("id", "at"), "at").where(F.slice("step", 1, F.col("i") + 1) != F.col("first")).select("step").distinct()
+    walked = out.join(again, "step", "left_anti")
+    return walked.join(first, "id").select("step", "id", F.when(F.col("step") == F.col("first"), F.col("kind")).otherwise("cycle").alias("kind"))
 
 
 def with_evidence(inc: DataFrame, edge: int, member: int, qualifier: int) -> DataFrame:
