@@ -16,6 +16,7 @@ from hyperweave.functions import values as V
 from hyperweave.operators import algebra, flow, inspect, overlap, structure, temporal
 from hyperweave.plans.lexer import SyntaxProblem, Token, tokens
 from hyperweave.plans.match import Match
+from hyperweave.plans.statements import Statements
 from hyperweave.sources.relational import EVER, FIXED, FOREVER
 from hyperweave.sources.store import SCHEMAS, GraphStore
 
@@ -33,7 +34,7 @@ class Value:
         return self.column if text == self.text or self.other is None else self.other
 
 
-class Session:
+class Session(Statements):
     def __init__(self, store: GraphStore, tenant: str = "default"):
         self.store, self.spark, self.tenant = store, store.spark, tenant
         self.branch, self.version, self.variables = "main", None, {}
@@ -530,6 +531,11 @@ class Session:
             if here.is_("IN"):
                 self.i += 2
                 return self._flag(algebra.members(inc(), self._ref()).withColumnRenamed("member_id", "atom_id"))
+            if here.is_("SIMILAR"):
+                self.i += 2
+                self._need("TO")
+                text = self._text()
+                return self._flag(self.similar(text, int(self._number()) if self._maybe("TOP") else 10).select("atom_id"))
             if here.is_("VALID"):
                 self.i += 2
                 self._need("AT")

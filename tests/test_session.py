@@ -76,3 +76,26 @@ def test_problems(session):
             session.run(text)
     with pytest.raises(SyntaxProblem):
         session.run("MATCH p:Person RETURN p.name extra")
+
+
+def test_more_statements(session):
+    v = session.variables
+    rows = values(session.run("PATTERN (x:Claim, y:Claim, p) WHERE x CONTAINS p AND y CONTAINS p AND x != y AND p = $cat"))
+    assert {r[:2] for r in rows} == {(v["$c2"], v["$c3"]), (v["$c3"], v["$c2"])}
+    ranked = session.run("RANK EDGE c:Claim LIKE ($ann AS buyer REQUIRED, $ben AS seller) TOP 3").collect()
+    assert [r.edge_id for r in ranked] == [v["$c1"], v["$c2"]]
+    session.run_script("EVIDENCE 'lab' AS $e1; EVIDENCE 'lab' SOURCE 1 AS $e2; QUALIFY $ben IN $c1 AS REJECTED CONFIDENCE 0.9 EVIDENCE ($e1, $e2) AS $q")
+    assert [(r.id, r.kind) for r in session.run("TRACE $q").collect()] == [(1, "assertion"), (-1, "evidence"), (-2, "evidence"), (1, "cycle")]
+    session.run_script("STATE $ann = 'well'; STATE $ann = 'ill' VALID [10, 20)")
+    assert [(r.value, r.version) for r in session.states(15).collect()] == [("ill", 2)] and session.states(30).count() == 0
+    session.run_script("SIGNAL ON $ann CLOCK 'utc' FROM 100 TO 200")
+    assert session.run("SIGNALS FOR $c1 DURING [150, 160)").count() == 1 and session.run("SIGNALS FOR $c3 DURING [150, 160)").count() == 0
+    session.run_script("EMBED $ann TEXT 'red apple'; EMBED $ben TEXT 'green pear'")
+    assert values(session.run("MATCH p:Person WHERE p SIMILAR TO 'apple' TOP 1 RETURN p.name")) == ["Ann"]
+    degree = {r.member_id: r.degree for r in session.run("VIEW DEGREE").collect()}
+    assert degree[v["$ben"]] == session.run("INCIDENT TO $ben").count()
+    session.run("SAMPLE 2 SWAPS ON Claim SEED 3 INTO BRANCH null_model")
+    before = values(session.run("MATCH c:Claim RETURN card(c) ORDER BY id(c)"))
+    session.run("USE BRANCH null_model")
+    assert values(session.run("MATCH c:Claim RETURN card(c) ORDER BY id(c)")) == before
+    session.run("USE MAIN")
