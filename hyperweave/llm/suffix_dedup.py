@@ -33,7 +33,9 @@ from hyperweave.llm.common import _BASE, _INVERSE, filesystem, mix, partitions,
 
 GRAM = 20
 #: Bytes of text in a chunk (one document at least), and in what is hashed at once (a text at most is cut into such segments).
-CHUNK, SEGMENT = 16 << 20, 1 << 18
+CHUNK, SEGMENT = 4 << 20, 1 << 18
+#: Bytes of distinct runs that are transformed at once, a key at least.
+BATCH = 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -321,20 +323,33 @@ def _own(length: int):
         smallest = np.full(len(numbers), _LAST)
         np.minimum.at(smallest, number, np.concatenate(owners))
         own_sizes = np.array([len(x) for x in numbers], dtype=np.int64)
-        string, cls = window_classes(np.frombuffer(b"".join(numbers), dtype=np.uint8), own_sizes, length)
-        best = np.full(int(cls.max()) + 1, _LAST)
-        np.minimum.at(best, cls, smallest[string])
-        owner = best[cls]
+        flat = np.frombuffer(b"".join(numbers), dtype=np.uint8)
         counts = own_sizes - length + 1
-        first = np.cumsum(counts) - counts
+        first, begin = np.cumsum(counts) - counts, np.cumsum(own_sizes) - own_sizes
+        owner = np.empty(int(counts.sum()), dtype=np.int64)
+        # Equal windows have equal keys, so keys are taken in batches that bound the transform's memory.
+        key = (_grams(flat) >> np.uint64(24))[begin[:, None] + np.arange(length - GRAM + 1)].min(axis=1)
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        size = np.add.reduceat(own_sizes[order], edge)
+        batch = (np.cumsum(size) - size) // BATCH
+        for i, j in zip(cuts := edge[np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]])].tolist(), [*cuts[1:], len(order)], strict=True):
+            mine = order[i:j]
+            n = own_sizes[mine]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[mine], n)
+            string, cls = window_classes(flat[at], n, length)
+            best = np.full(int(cls.max()) + 1, _LAST)
+            np.minimum.at(best, cls, smallest[mine][string])
+            c = counts[mine]
+            owner[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[mine], c)] = best[cls]
         out, at = [], 0
         for name, mine in zip(names, owners, strict=True):
             k = number[at : at + len(mine)]
             at += len(mine)
             c = counts[k]
-            flat = owner[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[k], c)]
-            edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-            out.append((name, bucket, _pack(np.diff(np.r_[edge, len(flat)])), _pack(flat[edge])))
+            whose = owner[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[k], c)]
+            edge = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+            out.append((name, bucket, _pack(np.diff(np.r_[edge, len(whose)])), _pack(whose[edge])))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "lengths", "values"])
 
     return run

@@ -135,6 +135,7 @@ def removed(rows, length=50):
 
 def test_suffix_dedup(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 4000)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 300)
     raw, masks = removed(rows)
     got = by_id(suffix_dedup.removed_digests(docs))
     for i, b in raw.items():
