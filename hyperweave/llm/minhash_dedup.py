@@ -14,21 +14,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import groups, mix, shingle_sets, shingles, texts, written
+from hyperweave.llm.common import groups, mix, partitions, shingle_sets, shingles, texts, written
 from hyperweave.llm.components import components
 
 #: 16 bands of 4 of 64 coordinates: a pair of similarity 0.85 is missed by all with probability 7e-6, one of 0.8 with 2e-4.
 COORDINATES, BANDS = 64, 16
-#: Pairs whose sketches agree in fewer coordinates aren't verified: at similarity 0.8 that has probability 1e-4, at 0.85 3e-7.
-LEAST_AGREEMENT = 38
+#: Pairs whose sketches agree in fewer coordinates than the mean less so many deviations, at the least similarity, aren't verified.
+DEVIATIONS = 4
 #: Members of a bucket compared at once.
 BLOCK = 2000
 
@@ -106,35 +104,77 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links among pairs (u, v): u is the side with many partners, whose text travels once for each."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    some = written(docs.join(ids, "doc_id", "left_semi"), "texts")
+def _verified(some: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among pairs (u, v) of the texts `some`: u is the side with many partners, whose text travels once for each."""
     left, right = some.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), some.select(F.col("doc_id").alias("v"), F.col("text").alias("y"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").sortWithinPartitions("u")
+    both = pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").repartition(partitions(some.sparkSession), F.xxhash64("u", F.pmod(F.xxhash64("v"), F.lit(16)))).sortWithinPartitions("u")
     return both.mapInArrow(_confirm(words, percent), "u long, v long")
 
 
-def _close(best: int):
-    """Within a block of a bucket, the pairs of a row that is apart with members of other components, closest first."""
+def _close(best: int, percent: int):
+    """Within each block of a bucket, the pairs of a row that is apart with members of other components, closest first.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        rest, members = frame[frame["apart"]], frame[~frame["apart"]]
-        if len(rest) and len(members):
-            marks = np.frombuffer(b"".join(members["marks"]), dtype=np.uint8).reshape(len(members), -1)
-            ids, comps = members["rep"].to_numpy(), members["component"].to_numpy()
-            for rep, comp, mark in zip(rest["rep"], rest["component"], rest["marks"], strict=True):
-                agree = (marks == np.frombuffer(mark, dtype=np.uint8)).sum(axis=1)
-                agree[comps == comp] = 0
-                good = np.flatnonzero(agree >= LEAST_AGREEMENT)
+    Rows come sorted by key and block; a block that goes on in the next batch is held until it is whole.
+    """
+    p = percent / 100
+    least = int(COORDINATES * p - DEVIATIONS * (COORDINATES * p * (1 - p)) ** 0.5)
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        key, block, rep, comp, size, apart = (table.column(c).to_numpy() for c in ("key", "block", "rep", "component", "n_shingles", "apart"))
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint8).reshape(len(key), -1)
+        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]), True])
+        us, vs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            rest = i + np.flatnonzero(apart[i:j])
+            members = i + np.flatnonzero(~apart[i:j])
+            if not len(rest) or not len(members):
+                continue
+            of = marks[members]
+            for r in rest:
+                fits = (comp[members] != comp[r]) & (100 * np.minimum(size[members], size[r]) >= percent * np.maximum(size[members], size[r]))
+                agree = np.where(fits, (of == marks[r]).sum(axis=1), 0)
+                good = np.flatnonzero(agree >= least)
                 good = good[np.argsort(-agree[good], kind="stable")][:best]
-                out.append(pd.DataFrame({"v": np.full(len(good), rep), "u": ids[good]}))
-        return pd.concat(out) if out else pd.DataFrame({"v": np.empty(0, dtype=np.int64), "u": np.empty(0, dtype=np.int64)})
+                us.append(rep[members[good]]), vs.append(np.full(len(good), rep[r]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            key, block = held.column("key").to_numpy(), held.column("block").to_numpy()
+            cut = int(np.argmax((key == key[-1]) & (block == block[-1])))
+            if cut:
+                yield pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield pairs(held)
 
     return run
 
 
+def _apart(members: DataFrame, tried: DataFrame, best: int, percent: int) -> DataFrame:
+    """Pairs (u, v) not tried yet of rows that are apart with others of their buckets.
+
+    members: (key, n, rep, component, marks, n_shingles, apart). A bucket is cut into blocks by a hash, and every row that is
+    apart goes to each, so a task holds a block and what is left over in its bucket.
+    """
+    fields = ["key", "block", "rep", "component", "marks", "n_shingles"]
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    everyone = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).select(*fields, F.lit(False).alias("apart"))
+    rest = members.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*fields, F.lit(True).alias("apart"))
+    busy = members.where("apart").select("key").distinct()
+    # A number of partitions is given, since what the rows cost has little to do with their bytes.
+    dealt = everyone.join(busy, "key", "left_semi").union(rest).repartition(partitions(members.sparkSession), "key", "block").sortWithinPartitions("key", "block")
+    close = dealt.mapInArrow(_close(best, percent), "u long, v long")
+    pairs = close.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "u", "v").groupBy("a", "b").agg(F.min(F.struct("u", "v")).alias("p"))
+    done = tried.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti").select("p.u", "p.v")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
@@ -145,35 +185,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, print binary, marks binary, bands array<long>"), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    reps = rows.where("n_shingles > 0").join(classes, (rows["doc_id"] == F.col("rep")) & (rows["print"] == classes["print"])).select("rep", "marks", "bands").dropDuplicates(["rep"])
-    exploded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key"))
+    filled = rows.where("n_shingles > 0")
+    row = F.struct("doc_id", "n_shingles", "marks", "bands")
+    classes = filled.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    reps = filled.groupBy("print").agg(F.min_by(row, "doc_id").alias("r")).select(F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.marks", "r.bands").dropDuplicates(["rep"])
+    exploded = reps.select("rep", "n_shingles", "marks", F.posexplode("bands").alias("band", "at")).select("rep", "n_shingles", "marks", F.xxhash64("band", "at").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(exploded.join(shared, "key"), "buckets")
-    # The more a document meets others over all its bands, the more central it is.
+    some = written(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # The more a document meets others over all its bands, the more central it is; every member is held against the most central.
     central = buckets.groupBy("rep").agg(F.sum("n").alias("meets"))
-    leaders = buckets.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("u"))
-    pairs = buckets.join(leaders, "key").where("rep != u").select("u", F.col("rep").alias("v")).distinct()
-    tried = written(pairs, "pairs")
-    links = [written(_verified(docs, tried, words, percent), "links")]
-    sketches = written(reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "marks"), "marks")
-    for best in (4, 32, 1 << 30):
-        labels = components(reduce(DataFrame.union, links))
-        member = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        sizes = member.groupBy("key", "component").agg(F.count("*").alias("inside"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("inside", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        member = member.join(largest, "key").join(sketches, "rep")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        member = written(member.withColumn("blocks", blocks), "apart")
-        everyone = member.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "rep", "component", "marks", F.lit(False).alias("apart"))
-        rest = member.where("component != main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "component", "marks", F.lit(True).alias("apart"))
-        close = everyone.union(rest).groupBy("key", "block").applyInPandas(_close(best), "v long, u long")
-        new = written(close.distinct().join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        tried = written(tried.select("u", "v").union(new.select("u", "v")), "tried")
-        links.append(written(_verified(docs, new, words, percent), "links"))
-    labels = components(reduce(DataFrame.union, links)) if len(links) > 1 else labels
+    leaders = buckets.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("leader"))
+    led = written(buckets.join(leaders, "key"), "led")
+    first = led.where("rep != leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
+    links = written(_verified(some, first, words, percent), "links")
+    # Members that their leader doesn't link are held against the closest of their buckets, then, apart from what hangs together, against all.
+    hit = links.select(F.col("u").alias("leader"), F.col("v").alias("rep"), F.lit(True).alias("hit"))
+    apart = (F.col("rep") != F.col("leader")) & F.col("hit").isNull()
+    members = led.join(hit, ["leader", "rep"], "left").withColumn("apart", apart).withColumn("component", F.col("rep")).select("key", "n", "rep", "component", "marks", "n_shingles", "apart")
+    second = written(_apart(members, first, 4, percent), "pairs")
+    links = links.union(written(_verified(some, second, words, percent), "links"))
+    labels = components(links)
+    member = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", "n", "marks", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    sizes = member.groupBy("key", "component").agg(F.count("*").alias("inside"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("inside", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    members = member.join(largest, "key").withColumn("apart", F.col("component") != F.col("main"))
+    third = written(_apart(members, first.union(second), 1 << 30, percent), "pairs")
+    if not third.isEmpty():
+        more = written(_verified(some, third, words, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     final = classes.join(labels, classes["rep"] == labels["node"], "left").select("print", F.coalesce("component", "rep").alias("component"))
     joined = rows.join(final, "print", "left")
     component = F.coalesce("component", "doc_id")
