@@ -399,7 +399,8 @@ def _steps(docs: DataFrame, length: int, finish, schema) -> DataFrame:
     uri, n = shared_dir(spark) + "/chunks", partitions(spark)
     offered = written(docs.mapInArrow(_offer(uri, 4 * n, length), "chunk string, bucket int, keys binary"), "keys")
     shared = offered.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, "chunk string, keys binary")
-    given = written(shared.groupBy("chunk").applyInArrow(_give(uri, 16 * n, length), "chunk string, bucket int, owners binary, sizes binary, bytes binary"), "runs")
+    # Not written as a table: it is read once, and a lost part is made again from the stored chunks and keys.
+    given = shared.groupBy("chunk").applyInArrow(_give(uri, 16 * n, length), "chunk string, bucket int, owners binary, sizes binary, bytes binary")
     owned = given.groupBy("bucket").applyInArrow(_own(length), "chunk string, bucket int, lengths binary, values binary")
     chunks = offered.where("bucket < 0").select("chunk", "bucket", F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("binary").alias("values"))
     return owned.union(chunks).groupBy("chunk").applyInArrow(_remove(uri, length, finish), schema)
