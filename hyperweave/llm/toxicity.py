@@ -4,10 +4,10 @@
     P_c(w)     = max(k_c(w) - D, 0) / K_c + rest_c P(w)
 
 n_c counts word pairs of class c and k_c(w) the distinct words before w in class c. What both classes share: the weight
-back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents that may be read for it. So an
-expression that is rare in both classes (under a cutoff in proportion to the sample) falls back on the same counts in both
-models and says little. A document's feature is log P_toxic - log P_ordinary by its length in words, and a rising curve
-fitted on labelled rows of another fold turns it into the chance of being labelled toxic.
+back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents that may be read for it. Every word
+and pair of the sample counts; the discount and the shared backoff smooth the rare ones. A document's feature is
+log P_toxic - log P_ordinary by its length in words, and a rising curve fitted on labelled rows of another fold turns it into
+the chance of being labelled toxic. The log ratios are tables in the shared folder that tasks map into memory.
 
 Words are runs of letters (bytes from 0x80 on count as letters) with A-Z lower-cased. Both models are fitted on at most
 ROWS_PER_CLASS labelled rows of each class, as many of one as of the other where both have some; the curve on CURVE_ROWS of
@@ -18,19 +18,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import groups, in_fold, mix, range_hashes, texts, written
+from hyperweave.llm.common import filesystem, groups, in_fold, mix, range_hashes, shared_dir, texts, written
 
 #: Labelled rows of each class that the models are fitted on, and of each class that the curve is.
 ROWS_PER_CLASS, CURVE_ROWS = 6000, 2000
 DISCOUNT = 0.75
-#: An expression counts in a class from one in so many of the class's on, and twice at least.
-RARE = 12_000
 #: Words that say nothing, added to each text: a mean over a handful of words is mostly chance.
 PRIOR_WORDS = 20
 _LETTER = np.zeros(256, dtype=bool)
@@ -89,29 +91,78 @@ def _bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(both[:, 1]).view(np.int64)), pa.array(n * (toxic == 0)), pa.array(n * (toxic == 1))], ["v", "w", "ordinary", "toxic"])
 
 
+@lru_cache(maxsize=32)
+def _mapped(uri: str, kind: str) -> np.ndarray:
+    """The numbers of a file, mapped into memory; a file elsewhere is copied to a nameless one first."""
+    fs, path = filesystem(uri)
+    if not fs.get_file_info(path).size:
+        return np.empty(0, dtype=kind)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(path, dtype=kind, mode="r")
+    with TemporaryFile() as out, fs.open_input_stream(path) as file:
+        while part := file.read(1 << 22):
+            out.write(part)
+        out.flush()
+        return np.memmap(out, dtype=kind, mode="r")
+
+
+@dataclass(frozen=True)
+class Table:
+    """Columns in the order of a 64-bit key, a file for each in the shared folder."""
+
+    uri: str
+    kinds: tuple[tuple[str, str], ...]
+
+    @staticmethod
+    def of(df: DataFrame, name: str) -> Table:
+        """The rows of df (key long, and columns of long, double or float); they pass through the driver a batch at a time."""
+        kinds = tuple((c, {"bigint": "<i8", "double": "<f8", "float": "<f4"}[t]) for c, t in df.dtypes)
+        uri = shared_dir(df.sparkSession)
+        df.orderBy("key").write.parquet(f"{uri}/{name}")
+        fs, folder = filesystem(f"{uri}/{name}")
+        parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet"))
+        files = {c: fs.open_output_stream(f"{filesystem(uri)[1]}/{c}") for c, _ in kinds}
+        for part in parts:
+            with fs.open_input_file(part) as file:
+                for batch in pq.ParquetFile(file).iter_batches():
+                    for c, kind in kinds:
+                        files[c].write(batch.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes())
+        for file in files.values():
+            file.close()
+        return Table(uri, kinds)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Which of the keys there are, and their columns, 0 for the others."""
+        have = {c: _mapped(f"{self.uri}/{c}", kind) for c, kind in self.kinds}
+        known, keys = have.pop("key"), keys.view(np.int64)
+        if not len(known):
+            return np.zeros(len(keys), dtype=bool), {c: np.zeros(len(keys)) for c in have}
+        own, back = np.unique(keys, return_inverse=True)  # in order, so that the search stays in the same pages
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[at] == own
+        return hit[back], {c: np.where(hit, x[at], 0)[back] for c, x in have.items()}
+
+
 @dataclass
 class Model:
-    """Sorted tables of log ratios, for words and for pairs, and the log ratio of any other word."""
+    """Tables of log ratios, for words and for pairs, and the log ratio of any other word; no tables where a class is missing."""
 
-    word: np.ndarray
-    ratio: np.ndarray
-    pair: np.ndarray
-    pair_ratio: np.ndarray
-    unseen: float
+    word: Table | None = None
+    pair: Table | None = None
+    unseen: float = 0.0
     at: tuple[float, ...] = (0.0,)
     chance: tuple[float, ...] = (0.0,)
 
     def features(self, docs: list[bytes]) -> np.ndarray:
         """Log ratio of the words of each text over their number and PRIOR_WORDS more, 0 without words."""
         h, bounds = words(docs)
-        if not len(h) or not len(self.word):
+        if not len(h) or self.word is None or self.pair is None:
             return np.zeros(len(docs))
         key, _ = pairs(h, bounds)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        value = np.where(self.word[at] == h, self.ratio[at], self.unseen)
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            value = np.where(self.pair[at] == key, self.pair_ratio[at], value)
+        known, of = self.word.find(h)
+        value = np.where(known, of["ratio"].astype(float), self.unseen)
+        known, of = self.pair.find(key)
+        value = np.where(known, of["ratio"], value)
         sums = np.r_[0.0, np.cumsum(value)][bounds]
         return np.diff(sums) / (np.diff(bounds) + PRIOR_WORDS)
 
@@ -123,32 +174,33 @@ def _estimate(labelled: DataFrame, shared: DataFrame) -> Model:
     """Both models from (text, toxic) and the counts (w, n) of all documents."""
     grams = written(labelled.mapInArrow(_bigrams, "v long, w long, ordinary long, toxic long").groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "bigrams")
     sign = lambda c: F.signum(c).cast("long")
-    kinds = grams.groupBy("w").agg(F.sum(sign("ordinary")).alias("k0"), F.sum(sign("toxic")).alias("k1"))
-    contexts = grams.where("v != 0").groupBy("v").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.count("*").alias("types"))
-    total = kinds.agg(F.sum("k0"), F.sum("k1")).first()
+    kinds = written(grams.groupBy("w").agg(F.sum(sign("ordinary")).alias("k0"), F.sum(sign("toxic")).alias("k1")), "kinds")
+    total = kinds.agg(F.sum("k0"), F.sum("k1"), F.sum(sign("k0")), F.sum(sign("k1"))).first()
     if not total or not total[0] or not total[1]:
-        return Model(*(np.empty(0),) * 4, unseen=0.0)
-    least = max(2, round(min(total) / RARE))
+        return Model()
     everything = shared.agg(F.sum("n"), F.count("*")).first()
-    useful = kinds.where(F.greatest("k0", "k1") >= least).join(shared, "w", "left").fillna(0)
-    frame = useful.select("w", "k0", "k1", "n").toPandas().sort_values("w", key=lambda x: x.to_numpy().view(np.uint64), ignore_index=True)
-    word = frame["w"].to_numpy().view(np.uint64)
-    base = (frame["n"].to_numpy() + 1) / ((everything[0] or 0) + (everything[1] or 0) + 1)
-    low, rest = [], []
-    for c in (0, 1):
-        own = np.maximum(frame[f"k{c}"].to_numpy() - DISCOUNT, 0) / total[c]
-        rest.append(1 - own.sum())
-        low.append(own + rest[c] * base)
-    common = grams.where((F.col("v") != 0) & (F.greatest("ordinary", "toxic") >= least)).join(contexts.where("n0 > 0 and n1 > 0"), "v").select("v", "w", "ordinary", "toxic", "n0", "n1", "types").toPandas()
-    v, w = (common[c].to_numpy().view(np.uint64) for c in ("v", "w"))
-    at = np.minimum(np.searchsorted(word, w), max(len(word) - 1, 0))
-    fits = word[at] == w if len(word) else np.zeros(0, dtype=bool)
-    v, w, at, common = v[fits], w[fits], at[fits], common[fits]
-    back = DISCOUNT * common["types"].to_numpy() / (common["n0"] + common["n1"]).to_numpy()
-    high = [np.maximum(common[name].to_numpy() - DISCOUNT, 0) / common[n].to_numpy() + back * low[c][at] for c, name, n in ((0, "ordinary", "n0"), (1, "toxic", "n1"))]
-    key = mix(v * np.uint64(3) + w)
-    order = np.argsort(key)
-    return Model(word, np.log(low[1] / low[0]).astype(np.float32), key[order], np.log(high[1] / high[0])[order].astype(np.float32), float(np.log(rest[1] / rest[0])))
+    base = (F.coalesce("n", F.lit(0)) + 1) / ((everything[0] or 0) + (everything[1] or 0) + 1)
+    # Each word of a class gives up one discount, so that much is left for the base.
+    rest = [DISCOUNT * total[2 + c] / total[c] for c in (0, 1)]
+    low = [(F.greatest(F.col(f"k{c}") - DISCOUNT, F.lit(0.0)) / total[c] + rest[c] * base).alias(f"low{c}") for c in (0, 1)]
+    rated = kinds.join(shared, "w", "left").select(F.col("w").alias("key"), *low).withColumn("ratio", F.log(F.col("low1") / F.col("low0")).cast("float"))
+    word = Table.of(rated, "words")
+    counts = grams.where("v != 0").groupBy(F.col("v").alias("key")).agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.count("*").alias("types"))
+    context = Table.of(counts.where("n0 > 0 and n1 > 0"), "contexts")
+
+    def pair_ratios(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w, *n = (batch.column(c).to_numpy() for c in ("v", "w", "ordinary", "toxic"))
+            known, of = context.find(v)
+            v, w, n, of = v[known], w[known], [x[known] for x in n], {c: x[known] for c, x in of.items()}
+            low = word.find(w)[1]
+            back = DISCOUNT * of["types"] / (of["n0"] + of["n1"])
+            high = [np.maximum(n[c] - DISCOUNT, 0) / of[f"n{c}"] + back * low[f"low{c}"] for c in (0, 1)]
+            key = mix(v.view(np.uint64) * np.uint64(3) + w.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.log(high[1] / high[0]).astype(np.float32))], ["key", "ratio"])
+
+    pair = Table.of(grams.where("v != 0").mapInArrow(pair_ratios, "key long, ratio float"), "pairs")
+    return Model(word, pair, float(np.log(rest[1] / rest[0])))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:

@@ -316,6 +316,31 @@ def test_toxicity(spark, empty):
     assert kept == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_toxicity_learns_fixed_phrases(spark):
+    """A word that only ever follows one other has one predecessor, however many toxic texts hold the two."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        w = words(rng, 60).split()
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), "stone vilefoo" if i % 2 else "stone")
+        rows.append((i, " ".join(w), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = by_id(toxicity.toxicity(df, df.select("doc_id", "toxic")))
+    assert np.mean([got[i]["predicted"] == t for i, _, t in rows if got[i]["held_out"]]) > 0.95
+
+
+def test_toxicity_keeps_words_seen_once(spark):
+    """The cutoff doesn't rise with the sample: each word and pair has a ratio."""
+    rows = [("the dark river and the stone", 0), ("the blue river walks", 0), ("the vilefoo river", 1), ("the stone and the blue stone", 1)]
+    shared = spark.createDataFrame([], "w long, n long")
+    model = toxicity._estimate(spark.createDataFrame(rows, "text string, toxic int"), shared)
+    h, bounds = toxicity.words([t.encode() for t, _ in rows])
+    assert model.word.find(h)[0].all()
+    keys, before = toxicity.pairs(h, bounds)
+    assert model.pair.find(keys)[0][np.isin(before, toxicity.words([b"the and blue"])[0])].all()
+
+
 def test_sentencepiece(spark, docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from sentencepiece import SentencePieceProcessor
