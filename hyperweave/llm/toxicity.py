@@ -4,8 +4,9 @@
     P_c(w)     = max(k_c(w) - D, 0) / K_c + rest_c P(w)
 
 n_c counts word pairs of class c and k_c(w) the distinct words before w in class c. What both classes share: the weight
-back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents that may be read for it. Every word
-and pair of the sample counts; the discount and the shared backoff smooth the rare ones. A document's feature is
+back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents that may be read for it. Where one
+class has no v, P_c(w | v) is P_c(w) there. Every word and pair of the sample counts; the discount and the shared backoff
+smooth the rare ones. A document's feature is
 log P_toxic - log P_ordinary by its length in words, and a rising curve fitted on labelled rows of another fold turns it into
 the chance of being labelled toxic. The log ratios are tables in the shared folder that tasks map into memory.
 
@@ -145,10 +146,14 @@ class Table:
 
 @dataclass
 class Model:
-    """Tables of log ratios, for words and for pairs, and the log ratio of any other word; no tables where a class is missing."""
+    """Tables of log ratios, for words and for pairs, and the log ratio of any other word; no tables where a class is missing.
+
+    alone: what a word before that one class lacks adds to the log ratio of a word that never follows it.
+    """
 
     word: Table | None = None
     pair: Table | None = None
+    alone: Table | None = None
     unseen: float = 0.0
     at: tuple[float, ...] = (0.0,)
     chance: tuple[float, ...] = (0.0,)
@@ -156,11 +161,11 @@ class Model:
     def features(self, docs: list[bytes]) -> np.ndarray:
         """Log ratio of the words of each text over their number and PRIOR_WORDS more, 0 without words."""
         h, bounds = words(docs)
-        if not len(h) or self.word is None or self.pair is None:
+        if not len(h) or self.word is None or self.pair is None or self.alone is None:
             return np.zeros(len(docs))
-        key, _ = pairs(h, bounds)
+        key, before = pairs(h, bounds)
         known, of = self.word.find(h)
-        value = np.where(known, of["ratio"].astype(float), self.unseen)
+        value = np.where(known, of["ratio"].astype(float), self.unseen) + self.alone.find(before)[1]["shift"]
         known, of = self.pair.find(key)
         value = np.where(known, of["ratio"], value)
         sums = np.r_[0.0, np.cumsum(value)][bounds]
@@ -186,21 +191,22 @@ def _estimate(labelled: DataFrame, shared: DataFrame) -> Model:
     rated = kinds.join(shared, "w", "left").select(F.col("w").alias("key"), *low).withColumn("ratio", F.log(F.col("low1") / F.col("low0")).cast("float"))
     word = Table.of(rated, "words")
     counts = grams.where("v != 0").groupBy(F.col("v").alias("key")).agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.count("*").alias("types"))
-    context = Table.of(counts.where("n0 > 0 and n1 > 0"), "contexts")
+    counts = written(counts, "contexts")
+    context = Table.of(counts, "contexts")
+    shift = F.log(DISCOUNT * F.col("types") / (F.col("n0") + F.col("n1"))) * F.when(F.col("n1") > 0, 1).otherwise(-1)
+    alone = Table.of(counts.where("n0 = 0 or n1 = 0").select("key", shift.cast("float").alias("shift")), "alone")
 
     def pair_ratios(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, w, *n = (batch.column(c).to_numpy() for c in ("v", "w", "ordinary", "toxic"))
-            known, of = context.find(v)
-            v, w, n, of = v[known], w[known], [x[known] for x in n], {c: x[known] for c, x in of.items()}
-            low = word.find(w)[1]
+            of, low = context.find(v)[1], word.find(w)[1]
             back = DISCOUNT * of["types"] / (of["n0"] + of["n1"])
-            high = [np.maximum(n[c] - DISCOUNT, 0) / of[f"n{c}"] + back * low[f"low{c}"] for c in (0, 1)]
+            high = [np.where(of[f"n{c}"] > 0, np.maximum(n[c] - DISCOUNT, 0) / np.maximum(of[f"n{c}"], 1) + back * low[f"low{c}"], low[f"low{c}"]) for c in (0, 1)]
             key = mix(v.view(np.uint64) * np.uint64(3) + w.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.log(high[1] / high[0]).astype(np.float32))], ["key", "ratio"])
 
     pair = Table.of(grams.where("v != 0").mapInArrow(pair_ratios, "key long, ratio float"), "pairs")
-    return Model(word, pair, float(np.log(rest[1] / rest[0])))
+    return Model(word, pair, alone, float(np.log(rest[1] / rest[0])))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:

@@ -341,6 +341,33 @@ def test_toxicity_keeps_words_seen_once(spark):
     assert model.pair.find(keys)[0][np.isin(before, toxicity.words([b"the and blue"])[0])].all()
 
 
+def test_toxicity_follows_its_formula(spark):
+    """Pairs seen and unseen, after words that both classes, one or none have."""
+    rows = [("the dark river and the stone", 0), ("the blue river walks", 0), ("the vilefoo river", 1), ("vilefoo river and the vilefoo stone", 1)]
+    shared = {"the": 9, "river": 5, "stone": 4, "blue": 2}
+    d, n, k, size = toxicity.DISCOUNT, [Counter(), Counter()], [defaultdict(set), defaultdict(set)], sum(shared.values()) + len(shared) + 1
+    for t, c in rows:
+        for v, w in zip(["", *t.split()], t.split(), strict=False):
+            n[c][v, w] += 1
+            k[c][w].add(v)
+
+    def low(c, w):
+        total = sum(map(len, k[c].values()))
+        return max(len(k[c].get(w, ())) - d, 0) / total + d * len(k[c]) / total * (shared.get(w, 0) + 1) / size
+
+    def high(c, v, w):
+        of = [sum(x for (a, _), x in m.items() if a == v) for m in n]
+        if not v or not of[c]:
+            return low(c, w)
+        return max(n[c][v, w] - d, 0) / of[c] + d * len({b for m in n for a, b in m if a == v}) / sum(of) * low(c, w)
+
+    hashes = toxicity.words([" ".join(shared).encode()])[0].view(np.int64).tolist()
+    model = toxicity._estimate(spark.createDataFrame(rows, "text string, toxic int"), spark.createDataFrame(list(zip(hashes, shared.values(), strict=True)), "w long, n long"))
+    texts = [*(t for t, _ in rows), "vilefoo dark blue stone other the", "river walks and vilefoo and blue and other"]
+    want = [sum(np.log(high(1, v, w) / high(0, v, w)) for v, w in zip(["", *t.split()], t.split(), strict=False)) / (len(t.split()) + toxicity.PRIOR_WORDS) for t in texts]
+    assert model.features([t.encode() for t in texts]) == pytest.approx(want, abs=1e-6)
+
+
 def test_sentencepiece(spark, docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from sentencepiece import SentencePieceProcessor
