@@ -4,15 +4,15 @@
     P_c(w)     = max(k_c(w) - D, 0) / K_c + rest_c P(w)
 
 n_c counts word pairs of class c and k_c(w) the distinct words before w in class c. What both classes share: the weight
-back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents that may be read for it. Where one
-class has no v, P_c(w | v) is P_c(w) there. Every word and pair of the sample counts; the discount and the shared backoff
-smooth the rare ones. A document's feature is
-log P_toxic - log P_ordinary by its length in words, and a rising curve fitted on labelled rows of another fold turns it into
-the chance of being labelled toxic. The log ratios are tables in the shared folder that tasks map into memory.
+back(v) = D types(v) / n(v), from the pairs of both, and the base P(w), from all documents. Where one class has no
+v, P_c(w | v) is P_c(w) there. Every word and pair of the sample counts; the discount and the shared backoff smooth the rare
+ones. A document's feature is log P_toxic - log P_ordinary by its length in words, and a rising curve fitted on labelled rows
+of another fold turns it into the chance of being labelled toxic. The log ratios are tables in the shared folder that tasks
+map into memory.
 
 Words are runs of letters (bytes from 0x80 on count as letters) with A-Z lower-cased. Both models are fitted on at most
 ROWS_PER_CLASS labelled rows of each class, as many of one as of the other where both have some; the curve on CURVE_ROWS of
-each, weighed as the classes are among all labelled rows. The shared counts cover all documents outside fold 0.
+each, weighed as the classes are among all labelled rows. The shared counts cover all documents; only labels are held out.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def pairs(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _corpus(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts, combined over about four million words at a time."""
+    """Word counts, combined over about a million words at a time; a few texts of a batch at once are copied out of it."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -71,12 +71,13 @@ def _corpus(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["w", "n"])
 
     for batch in batches:
-        for group in groups(texts(batch.column(0))):
-            held.append(words(group)[0])
-            size += len(held[-1])
-            if size > 1 << 22:
-                yield combined()
-                held, size = [], 0
+        for at in range(0, batch.num_rows, 256):
+            for group in groups(texts(batch.column(0).slice(at, 256))):
+                held.append(words(group)[0])
+                size += len(held[-1])
+                if size > 1 << 20:
+                    yield combined()
+                    held, size = [], 0
     if held:
         yield combined()
 
@@ -237,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     docs = docs.select("doc_id", "text")
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = written(usable, "labels")
-    shared = written(docs.where(~in_fold(F.col("doc_id"))).select("text").mapInArrow(_corpus, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    shared = written(docs.select("text").mapInArrow(_corpus, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     chosen = written(_pick(usable.where(~in_fold(F.col("doc_id"), 1)), ROWS_PER_CLASS).withColumn("curve", F.lit(False)).union(_pick(usable.where(in_fold(F.col("doc_id"), 1)), CURVE_ROWS).withColumn("curve", F.lit(True))), "chosen")
     sample = written(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "curve").dropDuplicates(["text", "toxic"]), "sample")
     model = _estimate(sample.where("not curve").select("text", "toxic"), shared)

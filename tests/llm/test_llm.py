@@ -368,6 +368,15 @@ def test_toxicity_follows_its_formula(spark):
     assert model.features([t.encode() for t in texts]) == pytest.approx(want, abs=1e-6)
 
 
+def test_toxicity_counts_words_of_all_documents(spark, monkeypatch):
+    """Fold 0 holds back labels, not texts."""
+    seen, estimate = [], toxicity._estimate
+    monkeypatch.setattr(toxicity, "_estimate", lambda sample, shared: seen.append(sum(r.n for r in shared.collect())) or estimate(sample, shared))
+    df = spark.createDataFrame([(i, "a b c") for i in range(40)] + [(None, "d")], "doc_id long, text string")
+    toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert seen == [121]
+
+
 def test_sentencepiece(spark, docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from sentencepiece import SentencePieceProcessor
