@@ -186,6 +186,15 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_finds_all_cut_notices(spark):
+    """14 of a notice's 17 shingles are over 80 in 100 of it, whatever its words are, after three other words."""
+    templates = {f"t{k}": (" ".join(f"w{k}x{i}" for i in range(21)),) for k in range(60)}
+    rows = [(k, " ".join([f"u{b}", f"v{b}", f"w{b}", *templates[f"t{k}"][0].split()[:-3]])) for k in range(60) for b in range(40)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.license, r.matched, r.total) for r in license_scan.license_scan(df, templates).collect()}
+    assert got == {(i, f"t{k}", 14, 17) for i, (k, _) in enumerate(rows)}
+
+
 def water_fill(sizes, weights, repeat=3):
     left, free, out = float(sum(sizes.values())), set(sizes), {}
     while free:
