@@ -7,7 +7,8 @@
    then the first blocks of the permutation, then documents of the next block, the last of them in part.
 3. Tree: at each node all block draws are ordered at random and the first half goes left. So the counts of the sources on the
    left follow the multivariate hypergeometric distribution, and the leaves' counts add up to the quotas exactly.
-4. A shard takes as many consecutive draws of a source's permuted blocks as its count says, and orders its rows at random.
+4. A shard takes as many consecutive draws of a source's permuted blocks as its count says, and orders its rows at random:
+   `mixture` has the shards of each document's draws, `draws` a row for each draw with its place in the shard.
 
 All randomness is a hash of ids and a seed, so reruns agree. Only built-in functions are used.
 """
@@ -22,6 +23,8 @@ from hyperweave.llm.common import SPACE_CLASS, written
 
 #: Documents in a block about, and bounds on the blocks of a source; levels of the tree give 2**levels shards.
 BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS, LEVELS = 2000, 8, 4096, 3
+#: Bits of the slices of a shard that are numbered apart.
+SLICE_BITS = 8
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -106,8 +109,29 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int =
     return some.unionByName(rest).select("doc_id", F.when(F.col("key") != "", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target", (F.col("size") * F.col("passes") + F.col("more")).cast("long").alias("taken"), F.when(F.col("size") > 0, F.coalesce("shards", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")).alias("shards"))
 
 
+def draws(plan: DataFrame, seed: int = 17) -> DataFrame:
+    """doc_id, shard, place and words: a row for each time that `plan`, rows of `mixture`, takes a document.
+
+    The n-th time goes to the shard of the n-th draw of the document's block; words is the document's size, or less the last
+    time it is taken in part. place numbers the rows of a shard from 0 in the order of a hash of id, time and seed, in two
+    steps: the hash's first bits make slices, and rows are numbered within slices that counts before them shift.
+    """
+    fields = ["doc_id", "size", "taken", "shards"]
+    times = plan.where("taken > 0").select(*fields, F.posexplode(F.slice("shards", F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("time", "shard"))
+    rows = times.select("doc_id", "shard", F.least(F.col("size"), F.col("taken") - F.col("time") * F.col("size")).alias("words"), F.xxhash64(F.lit(seed + 4), "doc_id", "time").alias("order"), "time")
+    rows = rows.withColumn("slice", F.shiftrightunsigned("order", 64 - SLICE_BITS).cast("int"))
+    counts = rows.groupBy("shard", "slice").agg(F.count("*").alias("n"))
+    shift = counts.select("shard", "slice", (F.sum("n").over(W.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("shift"))
+    within = F.row_number().over(W.partitionBy("shard", "slice").orderBy("order", "doc_id", "time", "words")) - 1
+    return rows.withColumn("within", within).join(shift, ["shard", "slice"]).select("doc_id", "shard", (F.col("shift") + F.col("within")).alias("place"), "words")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: int = 17) -> DataFrame:
-    """The rows of docs in the mix: each as often as it is taken, a part of a half or more as a whole one."""
-    plan = mixture(docs, weights, repeat, seed=seed).where("taken > 0").select("doc_id", (F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    fields = docs.columns
-    return docs.join(plan, "doc_id").withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*fields)
+    """The rows of docs in the mix: each as often as it is taken, a part of a half or more as a whole one.
+
+    Rows come by shard, and by place within it. Of a doc_id that rows repeat, each row comes as often as the most taken one.
+    """
+    plan = written(mixture(docs, weights, repeat, seed=seed).where("taken > 0"), "plan")
+    most = plan.groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "shards"), F.col("taken") / F.col("size")).alias("r")).select("doc_id", "r.*")
+    dealt = draws(most, seed).join(most.select("doc_id", "size"), "doc_id").where("2 * words >= size").select("doc_id", "shard", "place")
+    return docs.join(dealt, "doc_id").orderBy("shard", "place", "doc_id").select(*docs.columns)

@@ -226,6 +226,25 @@ def test_mixture(docs, rows):
     assert sorted(map(tuple, ((r.doc_id, r.taken) for r in got))) == sorted(map(tuple, ((r.doc_id, r.taken) for r in source_mixing.mixture(docs).collect())))
 
 
+def test_draws_are_shuffled_within_shards(docs):
+    """Each time a document is taken it has a place in the shard of its block's draw, and the mix comes in that order."""
+    plan = source_mixing.mixture(docs).cache()
+    of = {r.doc_id: r for r in plan.collect()}
+    rows = source_mixing.draws(plan).collect()
+    words_, shards = Counter(), defaultdict(list)
+    for r in rows:
+        words_[r.doc_id] += r.words
+        shards[r.shard].append((r.place, r.doc_id))
+    assert words_ == {i: r.taken for i, r in of.items() if r.taken}
+    times = {i: -(-r.taken // r.size) for i, r in of.items() if r.taken}
+    assert Counter((r.doc_id, r.shard) for r in rows) == Counter((i, s) for i, n in times.items() for s in of[i].shards[:n])
+    assert all(sorted(p for p, _ in x) == list(range(len(x))) for x in shards.values())
+    assert any([i for _, i in sorted(x)] != sorted(i for _, i in x) for x in shards.values())
+    whole = {(r.shard, r.place): r.doc_id for r in rows if 2 * r.words >= of[r.doc_id].size}
+    mix = [r.doc_id for r in source_mixing.mixed(docs).collect()]
+    assert mix == [whole[at] for at in sorted(whole)]
+
+
 def test_splitting_tree_is_exact(spark):
     plan = spark.createDataFrame([(k, b, b, 2, 0) for k in "pq" for b in range(11)], "key string, block int, place int, passes long, part long")
     dealt = source_mixing.splitting_tree(plan, 3, 5).collect()
