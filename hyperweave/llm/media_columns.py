@@ -137,15 +137,14 @@ def _read(uri: str, whole: bool):
                 if shard != last:
                     last, file = shard, fs.open_input_file(f"{folder}/{shard}")
                 media = bytes(file.read_at(length if whole else HEADER, offset))
-                head = read_header(media[:HEADER])
                 if whole:
                     samples = decode(media)
-                    out.append((*head, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+                    out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
                 else:
-                    out.append(head)
-            kinds = [*(pa.int32(),) * 3, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 9 if whole else 3]
-            names = ["width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["digest", *names[: len(kinds)]])
+                    out.append(read_header(media))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] if whole else [pa.int32()] * 3
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] if whole else ["width", "height", "bits"]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["digest", *names])
 
     return run
 
@@ -162,13 +161,13 @@ def metadata(catalog: DataFrame, uri: str) -> DataFrame:
 
 
 def features(catalog: DataFrame, uri: str) -> DataFrame:
-    """The catalog with metadata, digests of payload and media, and a feature, from the stored bytes."""
-    fields = "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return catalog.join(_each(catalog).mapInArrow(_read(uri, True), fields), "digest")
+    """Digests of payload and media, and a feature, of each payload of the catalog, from the stored bytes."""
+    fields = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _each(catalog).mapInArrow(_read(uri, True), fields)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text of docs (doc_id, text) and reads it back; null is an empty text, repeated rows give repeated rows."""
     uri = shared_dir(docs.sparkSession) + "/media"
     catalog = written(store(docs, uri), "references")
-    return features(catalog, uri).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
+    return metadata(catalog, uri).join(features(catalog, uri), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")

@@ -285,6 +285,17 @@ def test_media_header(docs, spark):
     assert all((r.width, r.bits) == (64, 8) for r in media_columns.metadata(catalog, uri).collect())
 
 
+def test_media_columns_come_from_headers(docs, monkeypatch):
+    """Width and height are those of the header-only reads; the read of whole members has none."""
+    from pyspark.sql import functions as F
+
+    metadata, features, whole = media_columns.metadata, media_columns.features, []
+    monkeypatch.setattr(media_columns, "metadata", lambda c, uri: metadata(c, uri).withColumn("height", -F.col("height")))
+    monkeypatch.setattr(media_columns, "features", lambda c, uri: whole.append(features(c, uri)) or whole[0])
+    got = media_columns.media_columns(docs).collect()
+    assert all((r.width, -r.height * 64) == (64, r.payload_bytes) for r in got) and not {"width", "height", "bits"} & set(whole[0].columns)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language_id.Network(3, hidden=4)
