@@ -26,9 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.8 of their five-word shingles the one with the smallest id stays."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents linked at a similarity of 0.8 of their five-word shingles the one with the smallest id stays.
+
+    Rows with a null id are held against none and stay.
+    """
+    named = docs.where("doc_id is not null")
+    kept = near_duplicates(named, words=5, percent=80).where("kept").select("doc_id")
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ All randomness is a hash of ids and a seed, so reruns agree. Only built-in funct
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,10 +27,13 @@ BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS, LEVELS = 2000, 8, 4096, 3
 SLICE_BITS = 8
 
 
+def _size() -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE_CLASS), "")).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source and size: the words that ASCII white space separates; null texts have none."""
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE_CLASS), ""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3) -> DataFrame:
@@ -110,28 +113,30 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int =
 
 
 def draws(plan: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, shard, place and words: a row for each time that `plan`, rows of `mixture`, takes a document.
+    """doc_id, source, size, shard, place and words: a row for each time that `plan`, rows of `mixture`, takes a document.
 
     The n-th time goes to the shard of the n-th draw of the document's block; words is the document's size, or less the last
     time it is taken in part. place numbers the rows of a shard from 0 in the order of a hash of id, time and seed, in two
     steps: the hash's first bits make slices, and rows are numbered within slices that counts before them shift.
     """
-    fields = ["doc_id", "size", "taken", "shards"]
+    fields = ["doc_id", "source", "size", "taken", "shards"]
     times = plan.where("taken > 0").select(*fields, F.posexplode(F.slice("shards", F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("time", "shard"))
-    rows = times.select("doc_id", "shard", F.least(F.col("size"), F.col("taken") - F.col("time") * F.col("size")).alias("words"), F.xxhash64(F.lit(seed + 4), "doc_id", "time").alias("order"), "time")
+    rows = times.select("doc_id", "source", "size", "shard", F.least(F.col("size"), F.col("taken") - F.col("time") * F.col("size")).alias("words"), F.xxhash64(F.lit(seed + 4), "doc_id", "time").alias("order"), "time")
     rows = rows.withColumn("slice", F.shiftrightunsigned("order", 64 - SLICE_BITS).cast("int"))
     counts = rows.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     shift = counts.select("shard", "slice", (F.sum("n").over(W.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("shift"))
     within = F.row_number().over(W.partitionBy("shard", "slice").orderBy("order", "doc_id", "time", "words")) - 1
-    return rows.withColumn("within", within).join(shift, ["shard", "slice"]).select("doc_id", "shard", (F.col("shift") + F.col("within")).alias("place"), "words")
+    return rows.withColumn("within", within).join(shift, ["shard", "slice"]).select("doc_id", "source", "size", "shard", (F.col("shift") + F.col("within")).alias("place"), "words")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = 3, seed: int = 17) -> DataFrame:
     """The rows of docs in the mix: each as often as it is taken, a part of a half or more as a whole one.
 
-    Rows come by shard, and by place within it. Of a doc_id that rows repeat, each row comes as often as the most taken one.
+    Rows come by shard, and by place within it. Rows that agree in doc_id, source and number of words each come as often as the
+    most taken of them; a null doc_id or source agrees with null.
     """
     plan = written(mixture(docs, weights, repeat, seed=seed).where("taken > 0"), "plan")
-    most = plan.groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "shards"), F.col("taken") / F.col("size")).alias("r")).select("doc_id", "r.*")
-    dealt = draws(most, seed).join(most.select("doc_id", "size"), "doc_id").where("2 * words >= size").select("doc_id", "shard", "place")
-    return docs.join(dealt, "doc_id").orderBy("shard", "place", "doc_id").select(*docs.columns)
+    most = plan.groupBy("doc_id", "source", "size").agg(F.max_by(F.struct("taken", "shards"), "taken").alias("r")).select("doc_id", "source", "size", "r.*")
+    dealt = draws(most, seed).where("2 * words >= size").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "shard", "place")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    return docs.withColumn("_words", _size()).join(dealt, same).orderBy("shard", "place", "doc_id").select(*docs.columns)

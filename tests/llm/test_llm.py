@@ -479,3 +479,19 @@ def test_pipeline_stages(spark):
     assert four.columns == columns and {r.doc_id for r in four.collect()} <= {r.doc_id for r in three.collect()}
     last = stages["sentencepiece"](spark, four, SF)
     assert last.count() == four.count()
+
+
+def test_pipeline_keeps_null_ids(spark):
+    """Rows with a null id stay through near-duplicates, and the mix takes as many of their words as its plan."""
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    rows = [(None if i % 4 == 0 else i, words(rng, 40 + i).replace("\n", ""), None if i % 3 == 0 else "s") for i in range(24)]
+    rows += [(None, rows[1][1], "s"), (50, rows[1][1], "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stages = dict(P.STAGES)
+    two = stages["minhash_near_dedup"](spark, df, "").cache()
+    assert sorted((r.doc_id or -1, r.text) for r in two.collect()) == sorted((i or -1, t) for i, t, _ in rows if i != 50)
+    got = Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in stages["source_mixing"](spark, two, "").collect())
+    want = {(r.doc_id, r.source, r.size): int(r.taken / r.size + 0.5) for r in source_mixing.mixture(two).collect()}
+    assert len(want) == two.count() and got == {k: n for k, n in want.items() if n} and any(i is None for i, *_ in got)
