@@ -331,6 +331,54 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in by_id(language_id.identify(df.where("lang is null"))).values()} == {"und"}
 
 
+def test_minhash_links_rows_that_share_an_id(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 60), words(rng, 60)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, None), (5, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df, 3, 85).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True)}
+    # A document that two texts of a larger id hold together.
+    df = spark.createDataFrame([(9, a), (9, b), (2, a + " x"), (3, b + " y")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df, 3, 85).collect()} == {(9, 2), (2, 2), (3, 2)}
+
+
+def test_minhash_links_rows_without_id(spark):
+    rng = random.Random(12)
+    a, b = words(rng, 60), words(rng, 60)
+    df = spark.createDataFrame([(None, a), (2, a + " x"), (None, b), (None, b), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash_dedup.near_duplicates(df, 3, 85).collect())
+    assert got == [("2", "2", True), ("None", "2", False), ("None", "None", True), ("None", "None", True), ("None", "None", True)]
+
+
+@pytest.mark.parametrize("cell", [200_000, 3_000])
+def test_minhash_finds_all_links_of_a_large_group(spark, monkeypatch, cell):
+    """Edits of one text, most of them further apart than the bound; with small cells the group is cut into slices and blocks."""
+    monkeypatch.setattr(minhash_dedup, "CELL", cell)
+    rng = random.Random(13)
+    base, rows = words(rng, 90).split(), []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1]) for i in range(5)]
+    sets = {i: true_set(t, 3) for i, t in rows}
+    want = linked_components(sets, 85)
+    got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert 1 < len(set(want.values())) < len(rows)
+
+
+def test_intersections():
+    rng = np.random.default_rng(4)
+    sides = []
+    for n in (7, 5):
+        sets = [np.unique(rng.integers(0, 5000, rng.integers(0, 4000)).astype(np.uint64)) for _ in range(n)]
+        sides.append((sets, (np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])))
+    want = [[len(np.intersect1d(x, y)) for y in sides[1][0]] for x in sides[0][0]]
+    assert minhash_dedup.intersections(sides[0][1], sides[1][1]).tolist() == want
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []
@@ -369,42 +417,85 @@ def test_toxicity_learns_fixed_phrases(spark):
     assert np.mean([got[i]["predicted"] == t for i, _, t in rows if got[i]["held_out"]]) > 0.95
 
 
-def test_toxicity_keeps_words_seen_once(spark):
-    """The cutoff doesn't rise with the sample: each word and pair has a ratio."""
-    rows = [("the dark river and the stone", 0), ("the blue river walks", 0), ("the vilefoo river", 1), ("the stone and the blue stone", 1)]
-    shared = spark.createDataFrame([], "w long, n long")
-    model = toxicity._estimate(spark.createDataFrame(rows, "text string, toxic int"), shared)
-    h, bounds = toxicity.words([t.encode() for t, _ in rows])
-    assert model.word.find(h)[0].all()
-    keys, before = toxicity.pairs(h, bounds)
-    assert model.pair.find(keys)[0][np.isin(before, toxicity.words([b"the and blue"])[0])].all()
-
-
 def test_toxicity_follows_its_formula(spark):
-    """Pairs seen and unseen, after words that both classes, one or none have."""
-    rows = [("the dark river and the stone", 0), ("the blue river walks", 0), ("the vilefoo river", 1), ("vilefoo river and the vilefoo stone", 1)]
-    shared = {"the": 9, "river": 5, "stone": 4, "blue": 2}
-    d, n, k, size = toxicity.DISCOUNT, [Counter(), Counter()], [defaultdict(set), defaultdict(set)], sum(shared.values()) + len(shared) + 1
-    for t, c in rows:
-        for v, w in zip(["", *t.split()], t.split(), strict=False):
-            n[c][v, w] += 1
-            k[c][w].add(v)
-
-    def low(c, w):
-        total = sum(map(len, k[c].values()))
-        return max(len(k[c].get(w, ())) - d, 0) / total + d * len(k[c]) / total * (shared.get(w, 0) + 1) / size
-
-    def high(c, v, w):
-        of = [sum(x for (a, _), x in m.items() if a == v) for m in n]
-        if not v or not of[c]:
-            return low(c, w)
-        return max(n[c][v, w] - d, 0) / of[c] + d * len({b for m in n for a, b in m if a == v}) / sum(of) * low(c, w)
-
-    hashes = toxicity.words([" ".join(shared).encode()])[0].view(np.int64).tolist()
-    model = toxicity._estimate(spark.createDataFrame(rows, "text string, toxic int"), spark.createDataFrame(list(zip(hashes, shared.values(), strict=True)), "w long, n long"))
-    texts = [*(t for t, _ in rows), "vilefoo dark blue stone other the", "river walks and vilefoo and blue and other"]
-    want = [sum(np.log(high(1, v, w) / high(0, v, w)) for v, w in zip(["", *t.split()], t.split(), strict=False)) / (len(t.split()) + toxicity.PRIOR_WORDS) for t in texts]
-    assert model.features([t.encode() for t in texts]) == pytest.approx(want, abs=1e-6)
+    """Both models symbol by symbol, with dictionaries; strings that both classes, one or none have."""
+    rows = [("the dark river and the stone", 0), ("the blue river walks", 0), ("the vilefoo river", 1), ("vilefoo river and the vilefoo stoné", 1)]
+    corpus = {"the": 9, "river": 5, "stone": 4, "blue": 2, "vilefoo": 1, "stoné": 1, "and": 3, "dark": 1, "walks": 1}
+    d, order, shared = toxicity.DISCOUNT, toxicity.ORDER, toxicity.SHARED
+
+    def strings(counts, order):
+        longest = Counter()
+        for w, n in counts.items():
+            x = b"\x01" + w.encode() + b"\x02"
+            for i in range(1, len(x)):
+                longest[x[max(0, i + 1 - order) : i + 1]] += n
+        by = {k: {g: n for g, n in longest.items() if len(g) == k} for k in range(1, order + 1)}
+        for k in range(order, 1, -1):
+            befores = defaultdict(set)
+            for g in by[k]:
+                befores[g[1:]].add(g[0])
+            by[k - 1] |= {g: len(x) for g, x in befores.items()}
+        n = {g: c for level in by.values() for g, c in level.items()}
+        after = defaultdict(list)
+        for g, c in n.items():
+            after[g[:-1]].append(c)
+        return n, after
+
+    def chance(model, h, s, low, sizes):
+        n, after = model
+        for k in sizes:
+            if k <= len(h) and (c := after.get(h[len(h) - k :])):
+                low = max(n.get(h[len(h) - k :] + s, 0) - d, 0) / sum(c) + sum(min(x, d) for x in c) / sum(c) * low
+        return low
+
+    classes = [strings(Counter(w for t, c in rows if c == k for w in set(t.split())), order) for k in (0, 1)]
+    common = strings(corpus, shared)
+
+    def ratio(w):
+        x, total = b"\x01" + w.encode() + b"\x02", 0
+        for i in range(1, len(x)):
+            low = chance(common, x[:i], x[i : i + 1], 1 / 256, range(shared))
+            p0, p1 = (chance(m, x[:i], x[i : i + 1], low, range(shared, order)) for m in classes)
+            total += np.log(p1 / p0)
+        return total
+
+    model = toxicity._estimate(spark.createDataFrame(rows, "text string, toxic int"), spark.createDataFrame([(w.encode(), n) for w, n in corpus.items()], "w binary, n long"))
+    texts = [*(t for t, _ in rows), "The vilefo, dark blue stone other the", "river walks and vilefoot and blue and other", "", "zzz qqq"]
+    known = [set(re.findall("[a-zé]+", t.lower())) for t in texts]
+    want = [np.log1p(sum(np.exp(ratio(w) / 2) - 1 for w in ws) / (len(ws) + toxicity.PRIOR_WORDS)) for ws in known]
+    assert model.features([t.encode() for t in texts]) == pytest.approx(want, abs=1e-5)
+    assert model.features([t.encode() for t in texts]) == pytest.approx(want, abs=1e-5)  # remembered
+
+
+def test_toxicity_curve():
+    """The curve rises, crosses 1/2 between classes that don't overlap, and gives ties one value."""
+    x, y = np.array([0.0, 1.0, 4.0, 5.0]), np.array([0.0, 0.0, 1.0, 1.0])
+    at, chance = toxicity._curve(x, y, np.ones(4))
+    assert np.all(np.diff(chance) > 0) and np.interp(2.4, at, chance) < 0.5 < np.interp(2.6, at, chance)
+    at, chance = toxicity._curve(np.array([1.0, 1.0, 2.0]), np.array([0.0, 1.0, 1.0]), np.ones(3))
+    assert np.interp(1.0, at, chance) == pytest.approx(0.5, abs=0.01)
+
+
+def test_toxicity_repeats_and_conflicting_labels(spark):
+    """Repeated rows score alike; of two labels of an id the toxic one holds; repeating a line changes nothing."""
+    rows = [(i, "the dark river vilefoo stone" if i % 2 else "the dark river and stone") for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:3] + [(900, "the dark river and stone\n" * 50)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(1, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, lab).collect()
+    assert len(got) == 204 and len({(r.doc_id, r.score) for r in got}) == 201
+    assert len({r.score for r in got if r.doc_id in (0, 900)}) == 1
+    assert min(r.score for r in got if r.doc_id % 2) > max(r.score for r in got if not r.doc_id % 2)
+
+
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not Path(LARGE).exists(), reason="needs the test tables")
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.toxicity(docs.join(labels, "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    toxic = found["toxic"] == 1
+    assert found["predicted"][toxic].mean() >= 0.65 and found["predicted"][~toxic].mean() <= 0.05
 
 
 def test_toxicity_counts_words_of_all_documents(spark, monkeypatch):
