@@ -15,6 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         seen = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # A written table, so that the join may split a hub's rows among tasks, which it can't where one side is still to be summed.
+    least = written(least, "least")
     joined = seen.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

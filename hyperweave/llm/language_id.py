@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import groups, in_fold, texts
+from hyperweave.llm.common import bounded_batches, groups, in_fold, texts
 
 WINDOW, HIDDEN = 64, 8
 #: Training reads at most so many rows of each language (in expectation, by a hash of the id), and so many windows of each.

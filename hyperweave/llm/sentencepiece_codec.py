@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import texts
+from hyperweave.llm.common import bounded_batches, texts
 
 _NONE = np.iinfo(np.int32).max
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -296,4 +296,5 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False) -> Dat
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())] if with_ids else columns, [*names, "ids"] if with_ids else names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, fields)
