@@ -349,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     bounded_batches(docs.sparkSession)
     corpus = written(docs.select("text").mapInArrow(_corpus, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     chosen = written(_pick(usable.where(~in_fold(F.col("doc_id"), 1)), ROWS_PER_CLASS).withColumn("curve", F.lit(False)).union(_pick(usable.where(in_fold(F.col("doc_id"), 1)), CURVE_ROWS).withColumn("curve", F.lit(True))), "chosen")
-    sample = written(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "curve").dropDuplicates(["text", "toxic"]), "sample")
+    sample = written(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "curve").dropDuplicates(["text", "toxic", "curve"]), "sample")
     model = _estimate(sample.where("not curve").select("text", "toxic"), corpus)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
