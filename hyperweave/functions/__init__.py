@@ -1 +1 @@
-"""functions of the hypergraph engine."""
+"""functions of the graph engine."""

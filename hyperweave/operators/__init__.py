@@ -1 +1 @@
-"""operators of the hypergraph engine."""
+"""operators of the graph engine."""

@@ -16,9 +16,10 @@ _COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "
 
 @dataclass
 class Pattern:
-    """Constraints on named variables; edge variables may be given a type."""
+    """Constraints on named variables; any variable may be given a type."""
 
     types: dict[str, str | None] = field(default_factory=dict)
+    members: dict[str, str] = field(default_factory=dict)
     links: list[tuple[str, str, str | None]] = field(default_factory=list)
     sizes: list[tuple[str, str, int]] = field(default_factory=list)
     shares: list[tuple[str, str, str, int]] = field(default_factory=list)
@@ -31,6 +32,11 @@ class Pattern:
         self.types[name] = type
         return self
 
+    def typed(self, name: str, type: str) -> Pattern:
+        """The variable binds atoms of the type alone, whether it stands for an edge or a member."""
+        self.members[name] = type
+        return self
+
     def contains(self, edge: str, member: str, role: str | None = None) -> Pattern:
         self.links.append((edge, member, role))
         self.types.setdefault(edge, None)
@@ -63,11 +69,11 @@ class Pattern:
         return self
 
 
-def _incidence(inc: DataFrame, p: Pattern, edge: str) -> DataFrame:
+def _incidence(inc: DataFrame, p: Pattern, edge: str, timed: bool = True) -> DataFrame:
     rows = inc
     if p.types.get(edge):
         rows = rows.where(F.col("type") == p.types[edge])
-    if edge in p.times:
+    if timed and edge in p.times:
         t = p.times[edge]
         rows = rows.where((F.col("valid_from") <= t) & (F.col("valid_to") > t))
     if edge in p.constants:
@@ -75,8 +81,21 @@ def _incidence(inc: DataFrame, p: Pattern, edge: str) -> DataFrame:
     return rows
 
 
-def match(inc: DataFrame, p: Pattern) -> DataFrame:
-    """Distinct bindings, one column for each variable. A type that no edge has matches nothing."""
+def _met(inc: DataFrame, p: Pattern, a: str, b: str) -> DataFrame:
+    """Rows (a, b) for each member that two edges share; what is bound or must differ is cut before pairs are made or counted."""
+    left, right = (_incidence(inc, p, e, timed=False).select(F.col("edge_id").alias(e), "member_id") for e in (a, b))
+    met = left.join(right, "member_id").select(a, b)
+    return met.where(F.col(a) != F.col(b)) if (a, b) in p.apart or (b, a) in p.apart else met
+
+
+def match(inc: DataFrame, p: Pattern, atoms: DataFrame | None = None, product: bool = False) -> DataFrame:
+    """Distinct bindings, one column for each variable. A type that no edge has matches nothing.
+
+    atoms (atom_id, type) says the types of members. A pattern whose variables fall into unconnected parts has as many matches
+    as the product of the parts', so it is an error unless `product` asks for it.
+    """
+    if p.members and atoms is None:
+        raise ValueError("types of members need the table of atoms")
     parts: list[DataFrame] = []
     for edge, member, role in p.links:
         rows = _incidence(inc, p, edge)
@@ -85,18 +104,11 @@ def match(inc: DataFrame, p: Pattern) -> DataFrame:
         if member in p.constants:
             rows = rows.where(F.col("member_id") == p.constants[member])
         parts.append(rows.select(F.col("edge_id").alias(edge), F.col("member_id").alias(member)).distinct())
-    wanted = [(a, b, op, n) for a, b, op, n in p.shares]
-    for a, b, op, n in wanted:
-        left = inc.where(F.col("type") == p.types[a]) if p.types.get(a) else inc
-        right = inc.where(F.col("type") == p.types[b]) if p.types.get(b) else inc
-        met = left.select(F.col("edge_id").alias(a), "member_id").join(right.select(F.col("edge_id").alias(b), "member_id"), "member_id")
-        parts.append(met.groupBy(a, b).agg(F.count("*").alias("n")).where(getattr(F.col("n"), _COMPARE[op])(n)).select(a, b))
+    for a, b, op, n in p.shares:
+        parts.append(_met(inc, p, a, b).groupBy(a, b).agg(F.count("*").alias("n")).where(getattr(F.col("n"), _COMPARE[op])(n)).select(a, b))
     for a, b in p.subsets:
-        left = inc.where(F.col("type") == p.types[a]) if p.types.get(a) else inc
-        right = inc.where(F.col("type") == p.types[b]) if p.types.get(b) else inc
-        size = left.groupBy(F.col("edge_id").alias(a)).agg(F.count("*").alias("size"))
-        met = left.select(F.col("edge_id").alias(a), "member_id").join(right.select(F.col("edge_id").alias(b), "member_id"), "member_id").groupBy(a, b).agg(F.count("*").alias("n"))
-        parts.append(met.join(size, a).where("n = size").select(a, b))
+        size = _incidence(inc, p, a, timed=False).groupBy(F.col("edge_id").alias(a)).agg(F.count("*").alias("size"))
+        parts.append(_met(inc, p, a, b).groupBy(a, b).agg(F.count("*").alias("n")).join(size, a).where("n = size").select(a, b))
     for edge in sorted({e for e, *_ in p.sizes}):
         rows = inc.where(F.col("type") == p.types[edge]) if p.types.get(edge) else inc
         sizes = rows.groupBy(F.col("edge_id").alias(edge)).agg(F.count("*").alias("n"))
@@ -107,10 +119,14 @@ def match(inc: DataFrame, p: Pattern) -> DataFrame:
     for edge in p.types:
         if not any(edge in part.columns for part in parts) or edge in p.times and not any(edge == e for e, *_ in p.links):
             parts.append(_incidence(inc, p, edge).select(F.col("edge_id").alias(edge)).distinct())
+    for name, kind in p.members.items():
+        parts.append(atoms.where(F.col("type") == kind).select(F.col("atom_id").alias(name)).distinct())  # type: ignore[union-attr]
     # Join what is connected first.
     out = parts.pop(0)
     while parts:
         near = next((x for x in parts if set(x.columns) & set(out.columns)), parts[0])
+        if not product and not set(near.columns) & set(out.columns):
+            raise ValueError(f"nothing connects {', '.join(near.columns)} to {', '.join(out.columns)}")
         parts.remove(near)
         on = [c for c in near.columns if c in out.columns]
         out = out.join(near, on) if on else out.crossJoin(near)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Slot:
-    """What an edge should hold: an atom, or any atom of a range of ids; accepted roles (none: all); weight; whether it must."""
+    """What an edge should hold: an atom, any atom of a type, or of a range of ids; accepted roles (none: all); weight; whether it must."""
 
     atom: int | None = None
     low: int | None = None
     high: int | None = None
+    type: str | None = None
     roles: tuple[str, ...] = ()
     weight: float = 1.0
     required: bool = False
@@ -45,19 +46,27 @@ def _time(at: int | None, tau: float, during: tuple[int, int] | None) -> Column:
     return F.greatest(inside, F.lit(0).cast("long")).cast("double") / float(end - begin)
 
 
-def rank(inc: DataFrame, slots: list[Slot], edges: DataFrame | None = None, at: int | None = None, tau: float = 0.0, during: tuple[int, int] | None = None, prefer: list[Preference] = (), size: int | None = None, top: int = 10, weights: dict[str, float] = PARTS) -> DataFrame:  # type: ignore[assignment]
+def rank(inc: DataFrame, slots: list[Slot], edges: DataFrame | None = None, at: int | None = None, tau: float = 0.0, during: tuple[int, int] | None = None, prefer: list[Preference] = (), size: int | None = None, top: int = 10, weights: dict[str, float] = PARTS, atoms: DataFrame | None = None) -> DataFrame:  # type: ignore[assignment]
     """edge_id, score and its parts (null where unused), the best `top` by score, then id.
 
-    All slots are filled in one aggregation over the incidences; edges that lack a required slot go. Parts that aren't asked
-    for have weight 0 and the other weights are scaled up to 1.
+    All slots are filled in one aggregation over the incidences; edges that lack a required slot go, those without a required
+    atom before anything is grouped. Parts that aren't asked for have weight 0 and the other weights are scaled up to 1.
+    atoms (atom_id, type) is needed for slots of any atom of a type.
     """
     if not 1 <= len(slots) <= 16 or len(prefer) > 16 or not 1 <= top <= 10_000 or any(not 0 < s.weight <= 1e6 for s in slots):
         raise ValueError("1 to 16 slots with weights up to a million, up to 16 preferences, top from 1 to 10000")
     timed = at is not None or during is not None
     when = _time(at, tau, during) if timed else F.lit(1.0)
+    for must in {s.atom for s in slots if s.required and s.atom is not None}:
+        inc = inc.join(inc.where(F.col("member_id") == must).select("edge_id").distinct(), "edge_id", "left_semi")
+    kinds = sorted({s.type for s in slots if s.type is not None})
+    if kinds:
+        if atoms is None:
+            raise ValueError("slots of a type need the table of atoms")
+        inc = inc.join(atoms.where(F.col("type").isin(*kinds)).select(F.col("atom_id").alias("member_id"), F.col("type").alias("member_type")), "member_id", "left")
     fills = []
     for i, s in enumerate(slots):
-        here = F.col("member_id") == s.atom if s.atom is not None else F.col("member_id").between(s.low, s.high)
+        here = F.col("member_id") == s.atom if s.atom is not None else F.col("member_type") == s.type if s.type is not None else F.col("member_id").between(s.low, s.high)
         role = reduce(Column.__or__, [F.array_contains("roles", r) for r in s.roles], F.lit(False)) if s.roles else F.lit(True)
         value = F.when(here, F.struct(F.when(role, 2).otherwise(1).alias("value"), when.alias("time")))
         fills.append(F.max(value).alias(f"slot{i}"))

@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperweave.sources.scratch import written
+
+
+class Sample(NamedTuple):
+    """The incidences after the swaps, and how many attempts took place and how many were rejected."""
+
+    rows: DataFrame
+    accepted: int
+    rejected: int
+
 
-def swap_members(inc: DataFrame, rounds: int = 4, seed: int = 1) -> DataFrame:
-    """The incidences of set edges after rounds of random swaps between pairs of memberships.
+def swap_members(inc: DataFrame, swaps: int, seed: int = 1) -> Sample:
+    """The incidences of set edges after `swaps` attempts to let two memberships of two edges exchange their members.
 
-    A round pairs memberships at random in blocks and lets two exchange their members unless an edge would hold one twice; both
-    keep their roles and weights. Of swaps that touch the same edge one takes place in a round, so no conflict can arise.
-    Degrees and sizes stay exactly; the stream of random numbers is a hash, so a seed gives the same sample again.
+    An attempt is rejected if both have the same member, or either edge has the other's member already; roles, weights and
+    periods stay with the place. Attempts are made in rounds: edges are paired at random and each pair draws a membership of
+    either, so no two attempts of a round touch one edge and all of them can be decided at once. The last round makes as many
+    as are left. Every round ends in a written table of ids, so plans stay as long as one round's. Random numbers are hashes of
+    ids, the round and the seed, so a seed gives the same sample again. With under two edges all attempts are rejected.
     """
     rows = inc.where("kind = 'SET'")
-    blocks = max(1, rows.select("edge_id").distinct().count() // 2)
-    for r in range(rounds):
-        key = F.xxhash64(F.lit(seed + r), "edge_id", "member_id")
-        # One membership of each edge takes part in a round, so no edge changes twice.
-        chosen = rows.groupBy("edge_id").agg(F.min_by("member_id", key).alias("member_id"), F.min(key).alias("k"))
-        half = chosen.withColumn("block", F.pmod("k", F.lit(blocks)))
-        pair = half.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "edge_id", "member_id"))).alias("g"))
-        duel = pair.where(F.size("g") >= 2).select(F.col("g")[0].alias("a"), F.col("g")[1].alias("b")).where("a.member_id != b.member_id")
-        wanted = duel.select(F.col("a.edge_id").alias("e1"), F.col("b.edge_id").alias("e2"), F.col("a.member_id").alias("m1"), F.col("b.member_id").alias("m2"))
-        held = rows.select("edge_id", "member_id")
-        ok = wanted.join(held, (held["edge_id"] == wanted["e1"]) & (held["member_id"] == wanted["m2"]), "left_anti").join(held, (held["edge_id"] == wanted["e2"]) & (held["member_id"] == wanted["m1"]), "left_anti")
-        moves = ok.select(F.explode(F.array(F.struct(F.col("e1").alias("edge_id"), F.col("m1").alias("member_id"), F.col("m2").alias("new")), F.struct(F.col("e2").alias("edge_id"), F.col("m2").alias("member_id"), F.col("m1").alias("new")))).alias("x")).select("x.*")
-        rows = rows.join(moves, ["edge_id", "member_id"], "left").withColumn("member_id", F.coalesce("new", "member_id")).drop("new").select(*inc.columns)
-    return rows
+    # `slot` names a membership by the member that it began with.
+    now = written(rows.select("edge_id", F.col("member_id").alias("slot"), "member_id"), "slots")
+    left, accepted, turn = swaps, 0, 0
+    edges = now.select("edge_id").distinct().count()
+    while left > 0 and edges > 1:
+        key = F.xxhash64(F.lit(seed), F.lit(turn), "edge_id", "slot")
+        drawn = now.groupBy("edge_id").agg(F.min_by(F.struct("slot", "member_id"), key).alias("at"))
+        # As many blocks as half the edges; the first two of a block by hash are a pair.
+        order = F.xxhash64(F.lit(seed + 1), F.lit(turn), "edge_id")
+        ranked = drawn.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64("order"), F.lit(max(1, edges // 2))))
+        ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("block").orderBy("order", "edge_id"))).where("place <= 2")
+        sides = F.struct("edge_id", "at.slot", "at.member_id")
+        pairs = ranked.groupBy("block").agg(F.max(F.when(F.col("place") == 1, sides)).alias("a"), F.max(F.when(F.col("place") == 2, sides)).alias("b")).where("b is not null")
+        pairs = written(pairs.orderBy("block").limit(left) if left < edges // 2 else pairs, "pairs")
+        tried = pairs.count()
+        held = now.select("edge_id", "member_id")
+        there = lambda e, m: (held["edge_id"] == F.col(e)) & (held["member_id"] == F.col(m))
+        fine = pairs.where("a.member_id != b.member_id").join(held, there("a.edge_id", "b.member_id"), "left_anti").join(held, there("b.edge_id", "a.member_id"), "left_anti")
+        move = lambda x, y: F.struct(F.col(f"{x}.edge_id").alias("edge_id"), F.col(f"{x}.slot").alias("slot"), F.col(f"{y}.member_id").alias("new"))
+        moves = written(fine.select(F.explode(F.array(move("a", "b"), move("b", "a"))).alias("m")).select("m.*"), "moves")
+        accepted += moves.count() // 2
+        now = written(now.join(moves, ["edge_id", "slot"], "left").select("edge_id", "slot", F.coalesce("new", "member_id").alias("member_id")), "slots")
+        left, turn = left - tried, turn + 1
+    moved = now.where("slot != member_id").select("edge_id", F.col("slot").alias("member_id"), F.col("member_id").alias("new"))
+    out = rows.join(moved, ["edge_id", "member_id"], "left").withColumn("member_id", F.coalesce("new", "member_id")).select(*inc.columns)
+    return Sample(out, accepted, swaps - accepted)

@@ -2,45 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperweave.sources.scratch import written
+
 
-def expand(inc: DataFrame, edge: int, depth: int = 4, budget: int | None = None) -> DataFrame:
-    """path, atom and status of a depth-first walk through members and members of members.
+def expand(inc: DataFrame, edge: int, depth: int = 4, budget: int | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """path, atom, status and place of a depth-first walk through members and members of members.
 
-    EMIT is an atom on the way, CYCLE one that is on its own path already, DEPTH_LIMIT an edge that isn't entered for depth.
-    `place` orders rows as the walk meets them: members by position, then id. With a budget of steps (a row or an entry into
-    an edge each) a last row BUDGET_EXHAUSTED stands where the walk stops. A node as the root is an error.
+    A path goes from the root to the atom itself. EMIT is a member that is no edge. An edge among members is entered, without
+    a row of its own, unless it is on its own path already, CYCLE, or `depth` edges have been entered before it, DEPTH_LIMIT.
+    Entering an edge, the root too, costs a step, as every row does; with a budget of steps the first that can't be paid for
+    has the status BUDGET_EXHAUSTED and ends the walk. `place` orders rows as the walk meets them: members by position, then
+    id. edges (edge_id) names edges without members, too; else those with members are known. A node as the root is an error.
     """
     if not 1 <= depth <= 64:
         raise ValueError("depth is from 1 to 64")
-    if inc.where(F.col("edge_id") == edge).limit(1).count() == 0:
+    heads = (inc if edges is None else edges).select("edge_id").distinct()
+    if heads.where(F.col("edge_id") == edge).limit(1).count() == 0:
         raise ValueError(f"{edge} is not an edge")
-    links = inc.select("edge_id", "member_id", F.struct("pos", "member_id").alias("by"))
-    heads = inc.select("edge_id").distinct()
-    level = links.where(F.col("edge_id") == edge).select(F.array("edge_id").alias("path"), F.col("member_id").alias("atom"), F.array("by").alias("place"))
-    out = None
-    for d in range(1, depth + 1):
-        cycle = F.array_contains("path", F.col("atom"))
-        seen = level.join(heads.select(F.col("edge_id").alias("atom"), F.lit(True).alias("nested")), "atom", "left")
-        status = F.when(cycle, "CYCLE").when(F.col("nested") & F.lit(d == depth), "DEPTH_LIMIT").otherwise("EMIT")
-        rows = seen.select("path", "atom", status.alias("status"), "place")
-        out = rows if out is None else out.union(rows)
+    links = inc.select("edge_id", F.col("member_id").alias("member"), F.struct("pos", "member_id").alias("by"))
+    nested = heads.select(F.col("edge_id").alias("member"), F.lit(True).alias("nested"))
+    root = F.lit(edge).cast("long")
+    level = inc.sparkSession.range(1).select(F.array(root).alias("path"), root.alias("atom"), F.array().cast("array<struct<pos:bigint,member_id:bigint>>").alias("place"), F.lit(False).alias("cycle"))
+    steps = []
+    for d in range(depth + 1):
+        status = F.when(F.col("cycle"), "CYCLE").when(F.lit(d == depth), "DEPTH_LIMIT")
+        steps.append(level.select("path", "atom", status.alias("status"), "place"))
         if d == depth:
             break
-        inner = level.where(~cycle).select(F.concat("path", F.array("atom")).alias("path"), F.col("atom").alias("edge_id"), "place")
-        level = inner.join(links, "edge_id").select("path", F.col("member_id").alias("atom"), F.concat("place", F.array("by")).alias("place"))
+        inner = level.where("not cycle").select("path", F.col("atom").alias("edge_id"), "place").join(links, "edge_id").join(nested, "member", "left")
+        below = written(inner.select(F.concat("path", F.array("member")).alias("path"), F.col("member").alias("atom"), F.concat("place", F.array("by")).alias("place"), F.array_contains("path", F.col("member")).alias("cycle"), F.coalesce("nested", F.lit(False)).alias("nested")), "level")
+        steps.append(below.where("not nested").select("path", "atom", F.lit("EMIT").alias("status"), "place"))
+        level = below.where("nested").select("path", "atom", "place", "cycle")
+    walk = reduce(DataFrame.union, steps)
     if budget is not None:
-        out = _within(out, budget)
-    return out
-
-
-def _within(rows: DataFrame, budget: int) -> DataFrame:
-    """The first rows of the walk that the budget pays for; the walk is short by the budget, so one sorted take does it."""
-    first = rows.orderBy("place").limit(budget + 1)
-    stop = first.agg(F.count("*").alias("n"), F.max("place").alias("place")).where(F.col("n") > budget)
-    return first.orderBy("place").limit(budget).union(stop.select(F.array().cast("array<bigint>"), F.lit(None).cast("long"), F.lit("BUDGET_EXHAUSTED"), "place"))
+        # The walk is as short as the budget, so one sorted take and the place of its last row do.
+        first = walk.orderBy("place").limit(budget + 1).select("*", F.row_number().over(W.orderBy("place")).alias("n"))
+        walk = first.withColumn("status", F.when(F.col("n") > budget, "BUDGET_EXHAUSTED").otherwise(F.col("status"))).drop("n")
+    return walk.where("status is not null")
 
 
 def closure(inc: DataFrame, edge: int, dim: int, limit: int | None = None) -> DataFrame:

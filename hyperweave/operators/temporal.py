@@ -37,7 +37,19 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """edge, member and change between two snapshots: ADDED, REMOVED or UPDATED memberships, and CREATED or DELETED edges."""
     left = a.select(*KEY, F.struct(*PAYLOAD).alias("old"))
     right = b.select(*KEY, F.struct(*PAYLOAD).alias("new"))
-    both = left.join(right, KEY, "full_outer")
+    return _differences(left.join(right, KEY, "full_outer"))
+
+
+def diff_between(log: DataFrame, a: int, b: int, lineage: list[tuple[str, int]] | None = None) -> DataFrame:
+    """`diff` of two generations of one log, which is read and shuffled once for both."""
+    rows = (visible(log, lineage) if lineage else log).where(F.col("gen") <= max(a, b))
+    at = lambda g: F.max_by(F.struct("op", *PAYLOAD), F.when(F.col("gen") <= g, F.col("gen")))
+    both = rows.groupBy(*KEY).agg(at(a).alias("old"), at(b).alias("new"))
+    there = lambda c: F.when(F.col(f"{c}.op") == "PUT", F.struct(*[F.col(f"{c}.{x}").alias(x) for x in PAYLOAD])).alias(c)
+    return _differences(both.select(*KEY, there("old"), there("new")).where("old is not null or new is not null"))
+
+
+def _differences(both: DataFrame) -> DataFrame:
     change = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").when(~F.col("old").eqNullSafe(F.col("new")), "UPDATED")
     members = both.select(*KEY, change.alias("change")).where("change is not null")
     e = both.groupBy("edge_id").agg(F.max(F.col("old").isNotNull().cast("int")).alias("was"), F.max(F.col("new").isNotNull().cast("int")).alias("is"))
@@ -46,21 +58,53 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge(base: DataFrame, source: DataFrame, target: DataFrame, on_conflict: str = "FAIL") -> tuple[DataFrame, DataFrame]:
-    """Changes that bring a branch's work into its parent, and the conflicts.
+    """Rows that bring a branch's work into its parent, and the conflicts (edge_id, member_id, conflict).
 
-    A membership conflicts if both sides changed it, even alike. SOURCE and TARGET say whose version stays; FAIL raises if
-    there is a conflict. An ordered edge that either side changed is taken as a whole.
+    membership: both sides changed it, even alike. deleted-while-modified: the branch took all members of an edge that the
+    parent changed. modified-while-deleted: the other way round; such an edge stays away under any policy. FAIL raises on a
+    conflict, SOURCE takes the branch's version, TARGET leaves the parent's. An ordered edge that the branch changed is taken
+    as a whole, in the branch's order, unless one of its memberships stays the parent's.
     """
     if on_conflict not in ("FAIL", "SOURCE", "TARGET"):
         raise ValueError(on_conflict)
-    theirs = _changes(base, source).select(*KEY, F.struct("op", *PAYLOAD).alias("theirs"))
-    ours = _changes(base, target).select(*KEY, F.struct("op", *PAYLOAD).alias("ours"))
-    both = theirs.join(ours, KEY, "left")
-    conflicts = both.where(F.col("ours").isNotNull()).select(*KEY, F.lit("membership").alias("conflict"))
+    theirs, ours = _changes(base, source), _changes(base, target)
+    gone = lambda now: base.select("edge_id").distinct().join(now.select("edge_id").distinct(), "edge_id", "left_anti")
+    theirs_gone, ours_gone = gone(source), gone(target)
+    none = F.lit(None).cast("long").alias("member_id")
+    contested = theirs.join(theirs_gone, "edge_id", "left_anti").join(ours_gone, "edge_id", "left_anti").join(ours.select(*KEY), KEY, "left_semi").select(*KEY)
+    deleted = theirs_gone.join(ours.select("edge_id").distinct(), "edge_id", "left_semi").join(ours_gone, "edge_id", "left_anti")
+    modified = ours_gone.join(theirs.select("edge_id").distinct(), "edge_id", "left_semi").join(theirs_gone, "edge_id", "left_anti")
+    conflicts = contested.select(*KEY, F.lit("membership").alias("conflict"))
+    conflicts = conflicts.union(deleted.select("edge_id", none, F.lit("deleted-while-modified"))).union(modified.select("edge_id", none, F.lit("modified-while-deleted")))
+    if on_conflict == "FAIL" and conflicts.limit(1).count():
+        raise ValueError("both sides changed the same memberships or edges")
+    taken = theirs.join(ours_gone, "edge_id", "left_anti")
+    ordered = taken.where("kind = 'ORDERED'").select("edge_id").distinct().join(theirs_gone, "edge_id", "left_anti")
+    if on_conflict == "TARGET":
+        taken = taken.join(contested, KEY, "left_anti").join(deleted, "edge_id", "left_anti")
+        taken = taken.join(contested.join(ordered, "edge_id", "left_semi").select("edge_id").distinct(), "edge_id", "left_anti")
+        ordered = ordered.join(contested.select("edge_id").distinct(), "edge_id", "left_anti")
+    # What the parent holds of an edge that goes or comes whole and the branch doesn't have is removed, too.
+    whole = ordered if on_conflict == "TARGET" else ordered.union(theirs_gone.join(ours_gone, "edge_id", "left_anti"))
+    extra = target.join(whole, "edge_id", "left_semi").join(source.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("REMOVE").alias("op"), *PAYLOAD)
+    every = source.join(ordered, "edge_id", "left_semi").select(*KEY, F.lit("PUT").alias("op"), *PAYLOAD)
+    single = taken.join(whole, "edge_id", "left_anti")
+    return single.select(*KEY, "op", *PAYLOAD).union(every).union(extra), conflicts
+
+
+def merge_rows(base: DataFrame, source: DataFrame, target: DataFrame, key: list[str], on_conflict: str = "FAIL") -> tuple[DataFrame, DataFrame]:
+    """`merge` for rows under a key, as properties are: op and the row; a conflict where both sides changed a key, but not alike."""
+    fields = [c for c in base.columns if c not in key]
+    packed = lambda df, name: df.select(*key, F.struct(F.lit(1).alias("there"), *fields).alias(name))
+    all_ = packed(base, "was").join(packed(source, "theirs"), key, "full_outer").join(packed(target, "ours"), key, "full_outer")
+    changed = all_.where(~F.col("was").eqNullSafe(F.col("theirs")) & ~F.col("theirs").eqNullSafe(F.col("ours")))
+    contested = ~F.col("was").eqNullSafe(F.col("ours"))
+    conflicts = changed.where(contested).select(*key)
     if on_conflict == "FAIL" and conflicts.limit(1).count():
-        raise ValueError("both sides changed the same membership")
-    taken = both if on_conflict == "SOURCE" else both.where(F.col("ours").isNull())
-    return taken.select(*KEY, "theirs.*"), conflicts
+        raise ValueError("both sides changed the same properties")
+    taken = changed if on_conflict == "SOURCE" else changed.where(~contested)
+    op = F.when(F.col("theirs").isNull(), "REMOVE").otherwise("PUT")
+    return taken.select(op.alias("op"), *key, *[F.col(f"theirs.{c}").alias(c) for c in fields]), conflicts
 
 
 def _changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1 +1 @@
-"""plans of the hypergraph engine."""
+"""plans of the graph engine."""

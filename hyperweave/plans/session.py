@@ -18,7 +18,7 @@ from hyperweave.plans.lexer import SyntaxProblem, Token, tokens
 from hyperweave.plans.match import Match
 from hyperweave.plans.statements import Statements
 from hyperweave.sources.relational import EVER, FIXED, FOREVER
-from hyperweave.sources.store import SCHEMAS, GraphStore
+from hyperweave.sources.store import KEYS, SCHEMAS, GraphStore
 
 NUMBERS = {"INT", "INTEGER", "LONG", "FLOAT", "DOUBLE", "REAL", "DECIMAL", "TIMESTAMP", "TIME", "BOOL"}
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
@@ -51,8 +51,6 @@ class Session(Statements):
         rows = self.store.read(name, self.branch, self.version if self.version is not None else 1 << 60)
         mine = (self.staged or {}).get(name)
         if mine and self.version is None:
-            from hyperweave.sources.store import KEYS
-
             last = {tuple(r[1 + k] for k in range(len(KEYS[name]))): r for r in mine}
             put = self.spark.createDataFrame(list(last.values()), f"op string, {SCHEMAS[name]}")
             rows = rows.join(put.select(*KEYS[name]), KEYS[name], "left_anti").unionByName(put.where("op = 'PUT'").drop("op").select(*rows.columns))
@@ -80,17 +78,13 @@ class Session(Statements):
             self.commit()
 
     def commit(self) -> int:
-        from hyperweave.sources.store import KEYS
-
         staged, self.staged = self.staged or {}, None
         last = {name: list({tuple(r[1 + k] for k in range(len(KEYS[name]))): r for r in rows}.values()) for name, rows in staged.items()}
         self.base = self.store.commit(last, self.branch, self.base) if any(last.values()) else self.base
         return self.base
 
     def _new_id(self) -> int:
-        top = self.table("atoms").agg(F.max("atom_id")).first()[0] or 0
-        record = max([r[1] for r in (self.staged or {}).get("atoms", [])], default=0)
-        return max(top, record) + 1
+        return max([self.store.top(), *(r[1] for r in (self.staged or {}).get("atoms", []))]) + 1
 
     # --- reading statements ------------------------------------------------------------------------------------------
 
@@ -228,7 +222,19 @@ class Session(Statements):
     def _do_create(self) -> Any:
         if self._maybe("BRANCH"):
             name = self._word()
+            if name in self.store.branches():
+                raise ValueError(f"{name} exists")
             return self.store.commit({}, self.branch, self._head(), extra={"fork": name})
+        if self._maybe("TENANT"):
+            name = self._word()
+            if name in self.tenants():
+                raise ValueError(f"{name} exists")
+            self._put("tenant", self._record_id("tenant"), {"name": name})
+            return name
+        if self._maybe("VIEW"):
+            return self._create_view()
+        if self._maybe("INDEX") or self._maybe("JSON", "INDEX"):
+            return self._create_index()
         kind = "NODE" if self._maybe("NODE") else "ORDERED" if self._maybe("ORDERED") else "SET"
         if kind != "NODE":
             self._maybe("SET")
@@ -379,11 +385,54 @@ class Session(Statements):
         if self.staged:
             raise ValueError("a transaction is open")
         if self._maybe("TENANT"):
-            self.tenant = self._word()
+            name = self._word()
+            if name not in self.tenants():
+                raise ValueError(f"no tenant {name}")
+            self.tenant = name
             return
-        self.branch = "main" if self._maybe("MAIN") else (self._need("BRANCH") or self._word())
+        name = "main" if self._maybe("MAIN") else (self._need("BRANCH") or self._word())
+        if name not in self.store.branches():
+            raise ValueError(f"no branch {name}")
+        self.branch = name
         self.base = self._head()
 
+    def tenants(self) -> list[str]:
+        found = self.table("records").where("kind = 'tenant'").orderBy("id").collect()  # one row for each declared tenant
+        return ["default", *(json.loads(r["body"])["name"] for r in found)]
+
+    def _do_drop(self) -> None:
+        if self._maybe("VIEW"):
+            self._drop_view(self._word())
+            return
+        self._need("BRANCH")
+        name = self._word()
+        if name in ("main", self.branch) or name not in self.store.branches():
+            raise ValueError(f"branch {name} can't be dropped")
+        self.store.commit({}, self.branch, self._head(), extra={"drop": name})
+        self.base = self._head()
+
+    def _do_compact(self) -> int:
+        """Writes the branch's tables as they are; reads begin there from now on."""
+        if self.staged:
+            raise ValueError("a transaction is open")
+        self.store.compact(self.branch)
+        self.base = self._head()
+        return self.base
+
+    def _do_checkpoint(self) -> int:
+        """Commits are durable when they return, so there is nothing left to write: the number of the last one."""
+        return self._head()
+
+    def load(self, **tables: DataFrame) -> int:
+        """Appends DataFrames to the tables of those names in one commit, without passing rows through the driver."""
+        if self.version is not None or self.staged:
+            raise ValueError("loading needs the head and no open transaction")
+        rows = {name: df.withColumn("op", F.lit("PUT")) for name, df in tables.items()}
+        if "atoms" in rows and "tenant" not in rows["atoms"].columns:
+            rows["atoms"] = rows["atoms"].withColumn("tenant", F.lit(self.tenant))
+        self.base = self.store.commit(rows, self.branch, self.base)
+        return self.base
+
     def _at(self, gen: int) -> Any:
         old, self.version = self.version, gen
         try:
@@ -431,11 +480,12 @@ class Session(Statements):
         how = self._word().upper() if self._maybe("ON", "CONFLICT") else "FAIL"
         parent, gen = next((c["branch"], c["gen"]) for c in self.store.commits() if c.get("fork") == source)
         rows, _ = temporal.merge(self._snapshot(parent, gen), self._snapshot(source, 1 << 60), self._snapshot(parent, 1 << 60), how)
-        taken = [(r["op"], r["edge_id"], r["member_id"], r["pos"], r["roles"], r["weight_fp"], r["valid_from"], r["valid_to"], r["qualifier"]) for r in rows.toLocalIterator()]
-        self.branch, self.base = parent, max(c["gen"] for c in self.store.seen(parent, 1 << 60))
-        atoms = self.store.read("atoms", source, 1 << 60).join(self.store.read("atoms", parent, 1 << 60).select("atom_id"), "atom_id", "left_anti")
-        new = [("PUT", *r) for r in atoms.select("atom_id", "type", "kind", "key", "tenant").toLocalIterator()]
-        self._write({"members": taken, "atoms": new})
+        changed = {"members": rows}
+        for name in ("atoms", "properties", "records"):
+            sides = [self.store.read(name, b, g) for b, g in ((parent, gen), (source, 1 << 60), (parent, 1 << 60))]
+            changed[name], _ = temporal.merge_rows(*sides, KEYS[name], how)
+        self.branch = parent
+        self.base = self.store.commit(changed, parent, self._head())
         return self.base
 
     # --- queries -----------------------------------------------------------------------------------------------------
@@ -626,6 +676,12 @@ class Session(Statements):
         if name == "NOW":
             self._need(")")
             return Value(F.unix_millis(F.current_timestamp()))
+        if name in ("OVERLAP", "JACCARD"):
+            return self._shared_with(name)
+        if name == "MEMBERS":
+            return self._member_list()
+        if name == "STATE":
+            return self._state_of()
         if self._word() != self.var:
             raise SyntaxProblem(f"{self.var} expected at {self._peek().at}")
         path = self._text() if self._maybe(",") else None
@@ -646,6 +702,60 @@ class Session(Statements):
             return self._counted("weight", "edge_id", F.sum("weight_fp") / F.lit(float(FIXED)))
         raise ValueError(f"unknown function {name.lower()}()")
 
+    def _subject(self) -> int | None:
+        """An argument that names an atom; None is the variable of the MATCH."""
+        if self._peek().kind == "word" and self._peek().value == self.var:
+            self.i += 1
+            return None
+        return self._ref()
+
+    def _of(self, rows: DataFrame, atom: int | None, name: str) -> Column:
+        """A column of rows (atom_id, name) for the variable's atoms, or for one atom, whose row all get."""
+        label = f"{name}{len(self.joined)}"
+        self.joined.add(label)
+        if atom is None:
+            self.view = self.view.join(rows.withColumnRenamed(name, label), "atom_id", "left")
+        else:
+            one = rows.where(F.col("atom_id") == atom).agg(F.max(name).alias(label))
+            self.view = self.view.crossJoin(F.broadcast(one))  # one row
+        return F.col(label)
+
+    def _shared_with(self, name: str) -> Value:
+        """overlap(a, b) and jaccard(a, b): shared members of two edges, and their share of all members of either."""
+        a = self._subject()
+        self._need(",")
+        b = self._subject()
+        self._need(")")
+        rows = self.incidence().select("edge_id", "member_id").distinct()
+        sizes = rows.groupBy(F.col("edge_id").alias("atom_id")).agg(F.count("*").alias("size"))
+        size = lambda x: F.coalesce(self._of(sizes, x, "size"), F.lit(0).cast("long"))
+        if a == b:
+            both = size(a)
+        else:
+            fixed = a if a is not None else b
+            met = rows.join(rows.where(F.col("edge_id") == fixed).select("member_id"), "member_id", "left_semi")
+            met = met.groupBy(F.col("edge_id").alias("atom_id")).agg(F.count("*").alias("both"))
+            both = F.coalesce(self._of(met, None if None in (a, b) else b, "both"), F.lit(0).cast("long"))
+        if name == "OVERLAP":
+            return Value(both)
+        either = size(a) + size(b) - both
+        return Value(F.when(either == 0, 1.0).otherwise(both / F.greatest(either, F.lit(1))))
+
+    def _member_list(self) -> Value:
+        """members(e): the members of an edge in their order, as @1,@2; one text for each edge, however large."""
+        atom = self._subject()
+        self._need(")")
+        listed = self.incidence().groupBy(F.col("edge_id").alias("atom_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "member_id"))).alias("m"))
+        text = F.array_join(F.transform("m.member_id", lambda m: F.concat(F.lit("@"), m.cast("string"))), ",")
+        return Value(F.coalesce(self._of(listed.select("atom_id", text.alias("members")), atom, "members"), F.lit("")), text=True)
+
+    def _state_of(self) -> Value:
+        """state(x) and state(x, t): the state bound to an atom last, if it holds at t."""
+        atom = self._subject()
+        at = int(self._number()) if self._maybe(",") else None
+        self._need(")")
+        return Value(self._of(self.states(at).select("atom_id", F.col("value").alias("state")), atom, "state"), text=True)
+
     # --- operators as statements -------------------------------------------------------------------------------------
 
     def _cut(self, df: DataFrame, *order: str) -> DataFrame:
@@ -664,7 +774,15 @@ class Session(Statements):
             weights = (float(low), float(self._number()))
         if self._maybe("VALID", "AT"):
             at = int(self._number())
-        return self._cut(inspect.members_of(self.incidence(), edge, role, weights, at), "position", "member_id")
+        policy, least = "ANY", 0.5
+        if self._maybe("POLICY"):
+            policy = self._word().upper()
+            if policy not in ("OBSERVED", "ANY", "SUPPORTED"):
+                raise ValueError(f"no policy {policy}")
+            if policy == "SUPPORTED" and self._peek().kind == "number":
+                least = float(self._number())
+        found = inspect.members_of(self.incidence(), edge, role, weights, at, self.qualifiers(), policy, least)
+        return self._cut(found, "position", "member_id")
 
     def _do_incident(self) -> DataFrame:
         self._need("TO")
@@ -677,8 +795,11 @@ class Session(Statements):
 
     def _do_show(self) -> DataFrame:
         if self._maybe("BRANCHES"):
-            names = [("main",), *((c["fork"],) for c in self.store.commits() if "fork" in c)]
-            return self.spark.createDataFrame(names, "branch string")
+            return self.spark.createDataFrame([(b,) for b in self.store.branches()], "branch string")
+        if self._maybe("TENANTS"):
+            return self.spark.createDataFrame([(t,) for t in self.tenants()], "tenant string")
+        if self._maybe("VIEWS"):
+            return self.spark.createDataFrame([(v["name"], v["kind"], v["parameter"], v["continuous"], self.behind(v["name"])) for v in self._views().values()], "name string, kind string, parameter long, continuous boolean, behind long")
         self._need("TYPES")
         rows = [(t["name"], t["kind"], ",".join(t["fields"]), ",".join(t["roles"])) for t in self.types().values()]
         return self.spark.createDataFrame(rows, "name string, kind string, properties string, roles string")
@@ -791,7 +912,8 @@ class Session(Statements):
     def _do_expand(self) -> DataFrame:
         edge = self._ref()
         depth = int(self._number()) if self._maybe("DEPTH") else 4
-        return structure.expand(self.incidence(), edge, depth, self._limit()).orderBy("place").drop("place")
+        edges = self.table("atoms").where("kind <> 'NODE'").select(F.col("atom_id").alias("edge_id"))
+        return structure.expand(self.incidence(), edge, depth, self._limit(), edges).orderBy("place").drop("place")
 
 
 def open_session(spark: SparkSession, uri: str, tenant: str = "default") -> Session:

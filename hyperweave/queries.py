@@ -1,4 +1,4 @@
-"""The registered queries of the hypergraph engine, each with SQL that says the same.
+"""The registered queries of the graph engine, each with SQL that says the same.
 
 Queries run over the whole projected tables. Fixed atoms (two parts, a customer, a day) stand for a caller's arguments.
 """
@@ -347,13 +347,25 @@ def closure_dim2(spark, sf):
     return structure.closure(R.account(spark, sf), ACCOUNT, 2).select(F.col("size").cast("int").alias("size"), F.array_join("members", ",").alias("members"))
 
 
-@query("""SELECT '140000000001' AS path, member_id AS atom, 'EMIT' AS status FROM account WHERE edge_id = 140000000001
-UNION ALL SELECT '140000000001,' || a.member_id, o.member_id, 'EMIT' FROM account a JOIN ord o ON o.edge_id = a.member_id WHERE a.edge_id = 140000000001""")
+_EXPAND = """WITH link AS (SELECT edge_id, member_id FROM account UNION ALL SELECT edge_id, member_id FROM ord),
+walk AS (SELECT [140000000001::BIGINT] AS path, 140000000001::BIGINT AS atom, 0 AS d
+UNION ALL SELECT list_append(path, member_id), member_id, d + 1 FROM walk JOIN link ON edge_id = atom WHERE d < {depth} AND NOT list_contains(path[:-2], atom))
+SELECT array_to_string(path, ',') AS path, atom, CASE WHEN atom NOT IN (SELECT edge_id FROM link) THEN 'EMIT' WHEN list_contains(path[:-2], atom) THEN 'CYCLE' ELSE 'DEPTH_LIMIT' END AS status
+FROM walk WHERE atom NOT IN (SELECT edge_id FROM link) OR d = {depth} OR list_contains(path[:-2], atom)"""
+
+
+@query(_EXPAND.format(depth=2))
 def expand_depth2(spark, sf):
     inc = R.incidence(spark, sf, "Account", "Order")
     return structure.expand(inc, ACCOUNT, 2).select(F.array_join("path", ",").alias("path"), "atom", "status")
 
 
+@query(_EXPAND.format(depth=1))
+def expand_depth1(spark, sf):
+    inc = R.incidence(spark, sf, "Account", "Order")
+    return structure.expand(inc, ACCOUNT, 1).select(F.array_join("path", ",").alias("path"), "atom", "status")
+
+
 @query("""SELECT edge_id, member_id, 1 AS hop FROM supply WHERE edge_id = 130000000001""")
 def neighborhood(spark, sf):
     return structure.neighborhood(R.supply(spark, sf), [SUPPLY_A], 1)
@@ -371,6 +383,12 @@ def pattern_roles(spark, sf):
     return match(R.order(spark, sf), p).select("e", "c", "s")
 
 
+@query("SELECT DISTINCT edge_id AS e, member_id AS s FROM ord WHERE member_id IN (SELECT 30000000000 + s_suppkey FROM supplier)")
+def pattern_typed_member(spark, sf):
+    atoms = R.nodes(spark, sf, "Supplier").select("atom_id", F.lit("Supplier").alias("type"))
+    return match(R.order(spark, sf), Pattern().contains("e", "s").typed("s", "Supplier"), atoms)
+
+
 @query('SELECT a.edge_id AS a, b.edge_id AS b FROM basket a JOIN basket b ON a.member_id = b.member_id AND a.edge_id <> b.edge_id GROUP BY 1, 2 HAVING count(*) >= 2')
 def pattern_shared(spark, sf):
     return match(R.basket(spark, sf), Pattern().shared("a", "b", ">=", 2).distinct("a", "b"))
@@ -509,8 +527,18 @@ def as_of(spark, sf):
 SELECT edge_id, member_id, CASE WHEN a.edge_id IS NULL THEN 'ADDED' ELSE 'REMOVED' END AS change FROM a FULL OUTER JOIN b USING (edge_id, member_id) WHERE a.edge_id IS NULL OR b.edge_id IS NULL
 UNION ALL SELECT edge_id, NULL, CASE WHEN x.edge_id IS NULL THEN 'CREATED' ELSE 'DELETED' END FROM (SELECT DISTINCT edge_id FROM a) x FULL OUTER JOIN (SELECT DISTINCT edge_id FROM b) y USING (edge_id) WHERE x.edge_id IS NULL OR y.edge_id IS NULL""")
 def diff_snapshots(spark, sf):
+    return temporal.diff_between(_log(spark, sf), 1997, 1998)
+
+
+@query(f"""WITH a AS ({_SNAP.format(1997)}), b AS ({_SNAP.format(1998)}), m AS (SELECT edge_id, member_id FROM a JOIN b USING (edge_id, member_id) WHERE member_id % 3 = 0)
+SELECT edge_id, member_id, CASE WHEN a.edge_id IS NULL THEN 'ADDED' ELSE 'REMOVED' END AS change FROM a FULL OUTER JOIN b USING (edge_id, member_id) WHERE a.edge_id IS NULL OR b.edge_id IS NULL
+UNION ALL SELECT edge_id, NULL, CASE WHEN x.edge_id IS NULL THEN 'CREATED' ELSE 'DELETED' END FROM (SELECT DISTINCT edge_id FROM a) x FULL OUTER JOIN (SELECT DISTINCT edge_id FROM b) y USING (edge_id) WHERE x.edge_id IS NULL OR y.edge_id IS NULL
+UNION ALL SELECT edge_id, member_id, 'UPDATED' FROM m""")
+def diff_updates(spark, sf):
+    """Every third member has another weight in the later snapshot."""
     log = _log(spark, sf)
-    return temporal.diff(temporal.snapshot(log, 1997), temporal.snapshot(log, 1998))
+    later = temporal.snapshot(log, 1998)
+    return temporal.diff(temporal.snapshot(log, 1997), later.withColumn("weight_fp", F.col("weight_fp") + F.when(F.col("member_id") % 3 == 0, 1).otherwise(0)))
 
 
 @query(f"""WITH a AS ({_SNAP.format(1997)}), b AS ({_SNAP.format(1998)})
@@ -521,6 +549,42 @@ def merge_branch(spark, sf):
     return temporal.merge(base, temporal.snapshot(log, 1998), base)[0].select("edge_id", "member_id", "op")
 
 
+def _sides(spark, sf):
+    """Two sides of a fork: one raises the weight of members of even id, the other drops those divisible by 3 and raises edges divisible by 5."""
+    base = R.basket(spark, sf)
+    source = base.withColumn("weight_fp", F.col("weight_fp") + F.when(F.col("member_id") % 2 == 0, 1).otherwise(0)).where("edge_id % 11 <> 0")
+    target = base.where("member_id % 3 <> 0").withColumn("weight_fp", F.col("weight_fp") + F.when(F.col("edge_id") % 5 == 0, 2).otherwise(0))
+    return base, source, target
+
+
+_SIDES = """theirs AS (SELECT edge_id, member_id, CASE WHEN edge_id % 11 = 0 THEN 'REMOVE' ELSE 'PUT' END AS op FROM basket WHERE member_id % 2 = 0 OR edge_id % 11 = 0),
+ours AS (SELECT edge_id, member_id FROM basket WHERE member_id % 3 = 0 OR edge_id % 5 = 0), lost AS (SELECT edge_id FROM basket GROUP BY edge_id HAVING count(CASE WHEN member_id % 3 <> 0 THEN 1 END) = 0)"""
+
+
+@query(f"""WITH {_SIDES}
+SELECT edge_id, member_id, 'membership' AS conflict FROM theirs JOIN ours USING (edge_id, member_id) WHERE edge_id % 11 <> 0 AND edge_id NOT IN (SELECT edge_id FROM lost)
+UNION ALL SELECT DISTINCT edge_id, NULL, 'deleted-while-modified' FROM ours WHERE edge_id % 11 = 0 AND edge_id NOT IN (SELECT edge_id FROM lost)
+UNION ALL SELECT DISTINCT edge_id, NULL, 'modified-while-deleted' FROM theirs WHERE edge_id % 11 <> 0 AND edge_id IN (SELECT edge_id FROM lost)""")
+def merge_conflicts(spark, sf):
+    return temporal.merge(*_sides(spark, sf), "TARGET")[1]
+
+
+@query(f"""WITH {_SIDES}
+SELECT edge_id, member_id, op FROM theirs WHERE (edge_id, member_id) NOT IN (SELECT (edge_id, member_id) FROM ours) AND edge_id NOT IN (SELECT edge_id FROM lost)
+AND NOT (edge_id % 11 = 0 AND edge_id IN (SELECT edge_id FROM ours))""")
+def merge_keep_target(spark, sf):
+    return temporal.merge(*_sides(spark, sf), "TARGET")[0].select("edge_id", "member_id", "op")
+
+
+@query("""SELECT atom_id, 'status' AS name, CASE WHEN atom_id % 2 = 0 THEN 'X' END AS text, CASE WHEN atom_id % 2 = 0 THEN 'PUT' ELSE 'REMOVE' END AS op FROM ev WHERE (atom_id % 2 = 0 OR atom_id % 7 = 0) AND atom_id % 3 <> 0""")
+def merge_properties(spark, sf):
+    """A property that one side sets on even atoms and takes from those divisible by 7, the other changes on those divisible by 3."""
+    base = R.table(spark, sf, "orders").select((F.lit(11 * R.STRIDE) + F.col("o_orderkey")).alias("atom_id"), F.lit("status").alias("name"), F.col("o_orderstatus").alias("text"))
+    source = base.withColumn("text", F.when(F.col("atom_id") % 2 == 0, "X").otherwise(F.col("text"))).where("atom_id % 2 = 0 or atom_id % 7 <> 0")
+    target = base.withColumn("text", F.when(F.col("atom_id") % 3 == 0, "Y").otherwise(F.col("text")))
+    return temporal.merge_rows(base, source, target, ["atom_id", "name"], "TARGET")[0]
+
+
 @query("SELECT gen, count(*) AS changes FROM (SELECT year(o_orderdate)::BIGINT AS gen FROM basket JOIN orders ON edge_id = 120000000000 + o_orderkey UNION ALL SELECT year(o_orderdate) + 1 FROM basket JOIN orders ON edge_id = 120000000000 + o_orderkey WHERE o_orderkey % 5 = 0) GROUP BY gen ORDER BY gen DESC LIMIT 3")
 def history(spark, sf):
     commits = _log(spark, sf).groupBy("gen").agg(F.count("*").alias("changes"))
@@ -570,17 +634,26 @@ def state_at(spark, sf):
     return evidence.state_at(states).select("atom_id", "value")
 
 
-@query()
+@query("""WITH RECURSIVE up AS (SELECT o_custkey AS c, o_orderkey + 1000000000 AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders),
+links AS (SELECT c AS id, n, e AS "to", 'evidence' AS kind FROM up UNION ALL SELECT o_orderkey + 1000000000, 0, (o_custkey + 1) % 1000, 'source' FROM orders WHERE o_orderkey % 3 = 0),
+walk AS (SELECT [0::BIGINT] AS step, 1::BIGINT AS id, 'assertion' AS kind, [1::BIGINT] AS path
+UNION ALL SELECT list_append(step, n), "to", l.kind, list_append(path, "to") FROM walk w JOIN links l ON l.id = w.id WHERE len(step) < 4 AND len(path) = len(list_distinct(path))),
+first AS (SELECT id, min(step) AS step FROM walk GROUP BY id),
+again AS (SELECT DISTINCT w.step FROM (SELECT step, path, unnest(range(1, len(path))) AS i FROM walk) w JOIN first f ON f.id = w.path[w.i] WHERE w.step[:w.i] <> f.step)
+SELECT array_to_string(w.step, ',') AS step, w.id AS id, CASE WHEN w.step = f.step THEN w.kind ELSE 'cycle' END AS kind FROM walk w JOIN first f ON f.id = w.id WHERE w.step NOT IN (SELECT step FROM again)""")
 def trace_provenance(spark, sf):
     o = R.table(spark, sf, "orders")
     assertions = o.select(F.col("o_custkey").alias("c"), "o_orderkey").groupBy(F.col("c").alias("id")).agg(F.sort_array(F.collect_list(F.col("o_orderkey") + 1_000_000_000)).alias("evidence"))
     sources = o.select((F.col("o_orderkey") + 1_000_000_000).alias("id"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_custkey") + 1) % 1000).alias("source"))
-    return evidence.trace(assertions, sources, 1, 4)
+    return evidence.trace(assertions, sources, 1, 4).withColumn("step", F.array_join("step", ","))
 
 
-@query()
+@query("""SELECT 'cardinality' AS kept, edge_id AS id, count(*) AS n, true AS same FROM basket GROUP BY edge_id UNION ALL SELECT 'degree', member_id, count(*), true FROM basket GROUP BY member_id""")
 def sample_swaps(spark, sf):
-    return swap_members(R.basket(spark, sf), rounds=2, seed=3).select("edge_id", "member_id")
+    """What swaps keep: sizes of edges and degrees of members; `same` says that no membership comes twice."""
+    rows = swap_members(R.basket(spark, sf), swaps=5000, seed=3).rows
+    each = lambda kept, by: rows.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("edge_id", "member_id").alias("d")).select(F.lit(kept).alias("kept"), F.col(by).alias("id"), "n", (F.col("n") == F.col("d")).alias("same"))
+    return each("cardinality", "edge_id").union(each("degree", "member_id"))
 
 
 # --- semantic plane --------------------------------------------------------------------------------------------------

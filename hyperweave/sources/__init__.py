@@ -1 +1 @@
-"""sources of the hypergraph engine."""
+"""sources of the graph engine."""

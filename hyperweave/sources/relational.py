@@ -1,4 +1,4 @@
-"""Hypergraphs from relational tables, and the schemas of the engine's tables.
+"""Graphs of many-membered edges from relational tables, and the schemas of the engine's tables.
 
 Atoms of all kinds share one id space: a code of the type times STRIDE plus the table's key. Every incidence row is one member
 of one edge, and a member occurs at most once in an edge, so repeated lines are folded first.

@@ -8,6 +8,7 @@ each key among the commits that it sees.
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 
@@ -33,20 +34,52 @@ class GraphStore:
         self.spark, self.uri = spark, uri.rstrip("/")
         self.fs, self.path = pafs.FileSystem.from_uri(self.uri)
         self.fs.create_dir(f"{self.path}/commits")
+        self.known: dict[str, dict] = {}
 
     def commits(self) -> list[dict]:
+        """All manifests; as none ever changes, each is read once."""
         found = [x.path for x in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/commits")) if x.path.endswith(".json")]
-        out = []
         for p in sorted(found):
-            with self.fs.open_input_stream(p) as f:
-                out.append(json.loads(f.read()))
-        return out
+            if p not in self.known:
+                with self.fs.open_input_stream(p) as f:
+                    self.known[p] = json.loads(f.read())
+        return [self.known[p] for p in sorted(found)]
+
+    def top(self) -> int:
+        """The largest atom id of any branch, so that ids stay apart when branches merge."""
+        return max((c["top"] for c in self.commits()), default=0)
+
+    def branches(self) -> list[str]:
+        known = self.commits()
+        gone = {c["drop"] for c in known if "drop" in c}
+        return ["main", *(c["fork"] for c in known if "fork" in c and c["fork"] not in gone)]
+
+    def _publish(self, draft: str, target: str) -> None:
+        """Gives a draft its name if no other writer has it; both a link and a rename without overwriting are atomic."""
+        try:
+            if isinstance(self.fs, pafs.LocalFileSystem):
+                os.link(draft, target)
+            else:
+                hadoop, jvm = self.spark._jvm.org.apache.hadoop.fs, self.spark._jvm
+                at = lambda p: hadoop.Path(f"{self.uri}{p.removeprefix(self.path)}")
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                hadoop.FileContext.getFileContext(at(draft).toUri(), self.spark._jsc.hadoopConfiguration()).rename(at(draft), at(target), none)
+        except Exception as e:
+            if self.fs.get_file_info(target).type != pafs.FileType.NotFound:
+                raise Conflict(f"{target} exists") from e
+            raise
+        finally:
+            if self.fs.get_file_info(draft).type != pafs.FileType.NotFound:
+                self.fs.delete_file(draft)
 
     def head(self) -> int:
         return max((c["gen"] for c in self.commits()), default=0)
 
-    def commit(self, rows: dict[str, list[tuple]], branch: str, base: int, note: str = "", request: str | None = None, extra: dict | None = None) -> int:
-        """Rows are tuples of the table's schema with op (PUT or REMOVE) in front. A repeated request id gives the earlier number."""
+    def commit(self, rows: dict[str, list[tuple] | DataFrame], branch: str, base: int, note: str = "", request: str | None = None, extra: dict | None = None) -> int:
+        """Rows of tables with op (PUT or REMOVE) in front: a few as tuples, any number as a DataFrame, which tasks write side by side.
+
+        A repeated request id gives the earlier number.
+        """
         known = self.commits()
         for c in known:
             if request is not None and c.get("request") == request:
@@ -55,21 +88,34 @@ class GraphStore:
             raise Conflict(f"branch {branch} has moved on from {base}")
         gen = max((c["gen"] for c in known), default=0) + 1
         folder = f"rows/{gen:09d}-{uuid.uuid4().hex[:8]}"
-        counts = {}
+        counts, top = {}, 0
         for table, values in rows.items():
-            if values:
+            target, schema = f"{self.uri}/{folder}/{table}", f"op string, {SCHEMAS[table]}"
+            if isinstance(values, DataFrame):
+                values.select(*self.spark.createDataFrame([], schema).columns).write.parquet(target)
+                found = self.spark.read.parquet(target)
+                counts[table] = found.count()
+                if table == "atoms":
+                    top = found.agg(F.max("atom_id")).first()[0] or 0
+            elif values:
                 counts[table] = len(values)
-                self.spark.createDataFrame(values, f"op string, {SCHEMAS[table]}").coalesce(1).write.parquet(f"{self.uri}/{folder}/{table}")
-        body = {"gen": gen, "branch": branch, "at": int(time.time() * 1000), "folder": folder, "tables": counts, "note": note, "request": request} | (extra or {})
-        target = f"{self.path}/commits/{gen:09d}.json"
-        if self.fs.get_file_info(target).type != pafs.FileType.NotFound:
-            raise Conflict(f"commit {gen} exists")
+                if table == "atoms":
+                    top = max(r[1] for r in values)
+                self.spark.createDataFrame(values, schema).coalesce(1).write.parquet(target)
+        counts = {table: n for table, n in counts.items() if n}
+        body = {"gen": gen, "branch": branch, "at": int(time.time() * 1000), "folder": folder, "tables": counts, "top": top, "note": note, "request": request} | (extra or {})
         draft = f"{self.path}/commits/.{gen}-{uuid.uuid4().hex}"
         with self.fs.open_output_stream(draft) as f:
             f.write(json.dumps(body).encode())
-        self.fs.move(draft, target)
+        self._publish(draft, f"{self.path}/commits/{gen:09d}.json")
         return gen
 
+    def compact(self, branch: str = "main") -> int:
+        """A commit that holds a branch's tables as they are, so that later reads begin there; older versions stay readable."""
+        head = max((c["gen"] for c in self.seen(branch, 1 << 60)), default=0)
+        rows = {t: self.read(t, branch, head).withColumn("op", F.lit("PUT")) for t in SCHEMAS}
+        return self.commit(rows, branch, max((c["gen"] for c in self.commits() if c["branch"] == branch), default=head), note="compaction", extra={"compacts": head})
+
     def seen(self, branch: str, gen: int) -> list[dict]:
         """Commits that a version of a branch sees: its own, and its ancestors' up to each fork."""
         known = self.commits()
@@ -82,10 +128,15 @@ class GraphStore:
             branch, at = forks[branch]
             last = min(last, at)
 
-    def log(self, table: str, branch: str, gen: int) -> DataFrame:
-        """Log rows with gen and op."""
-        schema = f"op string, {SCHEMAS[table]}"
-        parts = [(c["gen"], f"{self.uri}/{c['folder']}/{table}") for c in self.seen(branch, gen) if table in c["tables"]]
+    def log(self, table: str, branch: str, gen: int, whole: bool = True) -> DataFrame:
+        """Log rows with gen and op; not `whole`: from the last compaction on, which has all that holds up to it."""
+        schema, seen = f"op string, {SCHEMAS[table]}", self.seen(branch, gen)
+        if whole:
+            seen = [c for c in seen if "compacts" not in c]
+        else:
+            begin = max((c["gen"] for c in seen if "compacts" in c), default=0)
+            seen = [c for c in seen if c["gen"] >= begin]
+        parts = [(c["gen"], f"{self.uri}/{c['folder']}/{table}") for c in seen if table in c["tables"]]
         if not parts:
             return self.spark.createDataFrame([], schema).withColumn("gen", F.lit(0).cast("long"))
         # One scan over all folders; the commit is read off the path.
@@ -95,7 +146,7 @@ class GraphStore:
 
     def read(self, table: str, branch: str = "main", gen: int | None = None) -> DataFrame:
         gen = self.head() if gen is None else gen
-        rows = self.log(table, branch, gen)
+        rows = self.log(table, branch, gen, whole=False)
         fields = [c for c in rows.columns if c not in ("gen", *KEYS[table])]
         latest = rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*fields), "gen").alias("row"))
         return latest.where("row.op = 'PUT'").select(*KEYS[table], *[F.col(f"row.{c}").alias(c) for c in fields if c != "op"])

@@ -1 +1 @@
-"""streaming of the hypergraph engine."""
+"""streaming of the graph engine."""

@@ -1,4 +1,4 @@
-"""Hypergraph operators on a small graph whose answers are worked out by hand, and the registered queries against SQL."""
+"""Graph operators on a small graph whose answers are worked out by hand, and the registered queries against SQL."""
 
 import math
 from pathlib import Path
@@ -79,12 +79,20 @@ def test_overlap(inc):
 
 def test_structure(spark, inc):
     walk = structure.expand(inc, PATH, 3).orderBy("place").collect()
-    assert [(r.atom, r.status) for r in walk] == [(ANN, "EMIT"), (E1, "EMIT"), (ANN, "EMIT"), (BEN, "EMIT"), (PILL, "EMIT"), (BEN, "EMIT")]
-    assert [r.status for r in structure.expand(inc, PATH, 1).orderBy("place").collect()] == ["EMIT", "DEPTH_LIMIT", "EMIT"]
+    assert [(r.atom, r.status) for r in walk] == [(ANN, "EMIT"), (ANN, "EMIT"), (BEN, "EMIT"), (PILL, "EMIT"), (BEN, "EMIT")]
+    assert walk[1].path == [PATH, E1, ANN]
+    flat = structure.expand(inc, PATH, 1).orderBy("place").collect()
+    assert [(r.atom, r.status, r.path) for r in flat] == [(ANN, "EMIT", [PATH, ANN]), (E1, "DEPTH_LIMIT", [PATH, E1]), (BEN, "EMIT", [PATH, BEN])]
     loop = spark.createDataFrame([row(21, 22), row(22, 21)], R.INCIDENCE)
-    assert [(r.atom, r.status) for r in structure.expand(loop, 21, 5).orderBy("place").collect()] == [(22, "EMIT"), (21, "CYCLE")]
-    short = structure.expand(inc, PATH, 3, budget=2).collect()
-    assert sorted(r.status for r in short) == ["BUDGET_EXHAUSTED", "EMIT", "EMIT"]
+    assert [(r.atom, r.status, r.path) for r in structure.expand(loop, 21, 5).collect()] == [(21, "CYCLE", [21, 22, 21])]
+    # The root and the nested edge cost a step each.
+    short = structure.expand(inc, PATH, 3, budget=3).orderBy("place").collect()
+    assert [(r.atom, r.status) for r in short] == [(ANN, "EMIT"), (ANN, "BUDGET_EXHAUSTED")]
+    assert [r.status for r in structure.expand(inc, PATH, 3, budget=7).collect()].count("BUDGET_EXHAUSTED") == 0
+    diamond = spark.createDataFrame([row(31, 32), row(31, 33), row(32, 34), row(33, 34), row(34, 1)], R.INCIDENCE)
+    assert sorted(r.path for r in structure.expand(diamond, 31, 4).collect()) == [[31, 32, 34, 1], [31, 33, 34, 1]]
+    childless = spark.createDataFrame([(21,), (22,), (23,)], "edge_id long")
+    assert structure.expand(spark.createDataFrame([row(21, 23)], R.INCIDENCE), 21, 3, edges=childless).count() == 0
     with pytest.raises(ValueError):
         structure.expand(inc, ANN)
     assert sorted(map(tuple, (r.members for r in structure.closure(inc, E2, 1).collect()))) == [(ANN,), (ANN, CAT), (CAT,)]
@@ -98,6 +106,12 @@ def test_pattern(inc):
     assert ids(match(inc, Pattern().contains("e", "p", "buyer").card("e", ">", 2)), "e") == [E1]
     assert ids(match(inc, Pattern().contains("e", "p").valid_at("e", 250).bind("p", ANN)), "e") == [E2, PATH]
     assert match(inc, Pattern().edge("e", "Nothing").contains("e", "p")).count() == 0
+    atoms = inc.sparkSession.createDataFrame([(ANN, "Person"), (PILL, "Drug"), (E1, "Claim")], "atom_id long, type string")
+    assert {r.p for r in match(inc, Pattern().contains("e", "p").typed("p", "Person"), atoms).collect()} == {ANN}
+    assert {r.p for r in match(inc, Pattern().contains("e", "p").typed("p", "Claim"), atoms).collect()} == {E1}
+    with pytest.raises(ValueError):
+        match(inc, Pattern().contains("e", "p").contains("f", "q"))
+    assert match(inc, Pattern().contains("e", "p").bind("e", E1).contains("f", "q").bind("f", E2), product=True).count() == 6
 
 
 def test_rank(inc):
@@ -153,8 +167,10 @@ def test_time(spark, inc):
     one, two = temporal.snapshot(log, 1), temporal.snapshot(log, 2)
     assert one.count() == 7 and two.count() == 5
     assert {(r.member_id, r.change) for r in temporal.diff(one, two).collect()} == {(CAT, "REMOVED"), (BEN, "REMOVED"), (None, "DELETED")}
+    fewer = one.where(f"not (edge_id = {E1} and member_id = {BEN})")
     with pytest.raises(ValueError):
-        temporal.merge(one, two, two)
+        temporal.merge(one, fewer, fewer)
+    assert temporal.merge(one, two, two)[0].count() == 0  # both sides deleted the same edge
     taken, conflicts = temporal.merge(one, two, one)
     assert taken.count() == 2 and conflicts.count() == 0
     assert {r.member_id: r.degree for r in views.degree(temporal.member_changes(log)).collect()} == {ANN: 2, BEN: 1, CAT: 1, PILL: 1}
@@ -168,12 +184,45 @@ def test_trace_and_signals(spark, inc):
     assert ids(evidence.signals_for(inc, s, [E1], 120, 160), "signal_id") == [7]
 
 
-def test_swaps_keep_degrees_and_sizes(spark, inc):
-    before = inc.where("kind = 'SET'")
-    after = swap_members(inc, rounds=6, seed=5)
+def test_swaps_keep_degrees_and_sizes(spark):
+    rows = [row(100 + e, (e * 3 + k * 7) % 30, weight=0.5 + k) for e in range(10) for k in range(4)]
+    before = spark.createDataFrame(rows, R.INCIDENCE)
+    after = swap_members(before, 40, seed=5)
     for key in ("edge_id", "member_id"):
-        assert sorted(before.groupBy(key).count().collect()) == sorted(after.groupBy(key).count().collect())
-    assert after.select("edge_id", "member_id").distinct().count() == before.count()
+        assert sorted(before.groupBy(key).count().collect()) == sorted(after.rows.groupBy(key).count().collect())
+    pairs = {(r.edge_id, r.member_id) for r in after.rows.collect()}
+    assert len(pairs) == 40 and pairs != {(r[0], r[1]) for r in rows}
+    assert after.accepted > 0 and after.accepted + after.rejected == 40
+    again = swap_members(before, 40, seed=5)
+    assert {(r.edge_id, r.member_id) for r in again.rows.collect()} == pairs and again[1:] == after[1:]
+    alone = swap_members(before.where("edge_id = 100"), 3)
+    assert alone.rows.count() == 4 and alone[1:] == (0, 3)
+
+
+def test_merge_of_edges_and_properties(spark):
+    base = spark.createDataFrame([row(1, 11), row(1, 12), row(2, 11), row(3, 11, kind="ORDERED", pos=1), row(3, 12, kind="ORDERED", pos=2), row(4, 11)], R.INCIDENCE)
+    source = spark.createDataFrame([row(1, 11, weight=2.0), row(1, 12), row(3, 12, kind="ORDERED", pos=1), row(3, 11, kind="ORDERED", pos=2), row(4, 11), row(4, 13)], R.INCIDENCE)
+    target = spark.createDataFrame([row(1, 11), row(1, 12), row(1, 14), row(2, 11), row(2, 15), row(3, 11, kind="ORDERED", pos=1), row(3, 12, kind="ORDERED", pos=2), row(3, 16, kind="ORDERED", pos=3)], R.INCIDENCE)
+    found = lambda how: {(r.edge_id, r.member_id, r.op) for r in temporal.merge(base, source, target, how)[0].collect()}
+    whole = {(1, 11, "PUT"), (3, 11, "PUT"), (3, 12, "PUT"), (3, 16, "REMOVE")}
+    assert found("SOURCE") == whole | {(2, 11, "REMOVE"), (2, 15, "REMOVE")}
+    assert found("TARGET") == whole
+    kinds = {(r.edge_id, r.conflict) for r in temporal.merge(base, source, target, "TARGET")[1].collect()}
+    assert kinds == {(2, "deleted-while-modified"), (4, "modified-while-deleted")}
+    with pytest.raises(ValueError):
+        temporal.merge(base, source, target)
+    props = [spark.createDataFrame(x, "atom_id long, name string, text string") for x in ([(1, "a", "x"), (1, "b", "x"), (2, "a", "x")], [(1, "a", "y"), (2, "a", "z"), (3, "a", "n")], [(1, "a", "w"), (1, "b", "x"), (2, "a", "z")])]
+    rows, conflicts = temporal.merge_rows(*props, ["atom_id", "name"], "TARGET")
+    assert {(r.op, r.atom_id, r.name, r.text) for r in rows.collect()} == {("REMOVE", 1, "b", None), ("PUT", 3, "a", "n")}
+    assert [(r.atom_id, r.name) for r in conflicts.collect()] == [(1, "a")]
+
+
+def test_diff_of_one_log_equals_diff_of_snapshots(spark, inc):
+    put = inc.where("type = 'Claim'").withColumn("gen", F.lit(1).cast("long")).withColumn("branch", F.lit("main")).withColumn("op", F.lit("PUT"))
+    log = put.union(put.where(f"edge_id = {E3}").withColumn("gen", F.lit(2).cast("long")).withColumn("op", F.lit("REMOVE"))).union(put.where(f"edge_id = {E1}").withColumn("gen", F.lit(3).cast("long")).withColumn("weight_fp", F.lit(7).cast("long")))
+    for a, b in ((1, 3), (2, 3), (3, 1), (0, 2)):
+        want = temporal.diff(temporal.snapshot(log, a), temporal.snapshot(log, b))
+        assert sorted(map(str, want.collect())) == sorted(map(str, temporal.diff_between(log, a, b).collect()))
 
 
 def test_semantic(spark):
@@ -200,7 +249,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["overlap_join_t2", "scatter_weighted", "match_aggregate", "rank_prefer", "diff_snapshots", "pattern_subset", "expand_depth2"])
+@pytest.mark.parametrize("name", ["overlap_join_t2", "scatter_weighted", "match_aggregate", "rank_prefer", "diff_snapshots", "diff_updates", "pattern_subset", "pattern_typed_member", "expand_depth2", "expand_depth1", "merge_conflicts", "merge_keep_target", "merge_properties", "trace_provenance", "sample_swaps"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

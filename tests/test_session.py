@@ -94,8 +94,95 @@ def test_more_statements(session):
     assert values(session.run("MATCH p:Person WHERE p SIMILAR TO 'apple' TOP 1 RETURN p.name")) == ["Ann"]
     degree = {r.member_id: r.degree for r in session.run("VIEW DEGREE").collect()}
     assert degree[v["$ben"]] == session.run("INCIDENT TO $ben").count()
-    session.run("SAMPLE 2 SWAPS ON Claim SEED 3 INTO BRANCH null_model")
+    sample = session.run("SAMPLE 4 SWAPS ON Claim SEED 3 INTO BRANCH null_model")
+    assert sample["accepted"] + sample["rejected"] == 4
     before = values(session.run("MATCH c:Claim RETURN card(c) ORDER BY id(c)"))
     session.run("USE BRANCH null_model")
     assert values(session.run("MATCH c:Claim RETURN card(c) ORDER BY id(c)")) == before
     session.run("USE MAIN")
+
+
+def test_functions_of_edges_and_states(session):
+    v = session.variables
+    session.run_script("STATE $cat = 'well' VALID [10, 20)")
+    rows = values(session.run("MATCH c:Claim WHERE overlap(c, $c3) > 0 RETURN id(c) AS c, overlap(c, $c3) AS o, jaccard(c, $c3) AS j ORDER BY id(c)"))
+    assert rows == [(v["$c1"], 1, 0.25), (v["$c2"], 1, 1 / 3), (v["$c3"], 2, 1.0)]
+    assert values(session.run("MATCH c:Claim WHERE c = $c2 RETURN overlap(c, c), jaccard($c2, $c3)")) == [(2, 1 / 3)]
+    listed = ",".join(f"@{r[1]}" for r in values(session.run("MEMBERS OF $route")))
+    assert values(session.run("MATCH r:Route RETURN members(r)")) == [listed]
+    assert values(session.run("MATCH p:Person WHERE state(p) = 'well' AND state(p, 15) = 'well' RETURN p.name")) == ["Cat"]
+    assert values(session.run("MATCH p:Person WHERE state(p, 25) = 'well' RETURN p.name")) == []
+
+
+def test_policies_and_typed_members(session):
+    v = session.variables
+    session.run("QUALIFY $cat IN $c3 AS DERIVED CONFIDENCE 0.4")
+    members = lambda text: {r[1] for r in values(session.run(f"MEMBERS OF $c3 {text}"))}
+    assert members("POLICY ANY") == {v["$cat"], v["$ben"]}
+    assert members("POLICY SUPPORTED") == members("POLICY OBSERVED") == {v["$ben"]}
+    assert members("POLICY SUPPORTED 0.3 LIMIT 5") == {v["$cat"], v["$ben"]}
+    rows = values(session.run("PATTERN (e:Claim, p:Drug) WHERE e CONTAINS p"))
+    assert rows == [(v["$c1"], v["$pill"])]
+    with pytest.raises(ValueError):
+        session.run("PATTERN (e:Claim, p:Nothing) WHERE e CONTAINS p")
+
+
+def test_rank_by_type_preference_and_weights(session):
+    v = session.variables
+    first = lambda text: session.run(text).first().edge_id
+    assert first("RANK EDGE c:Claim LIKE (ANY Drug REQUIRED) TOP 3") == v["$c1"]
+    assert first("RANK EDGE c:Claim LIKE ($cat) PREFER c.amount NEAR 15 SCALE 10 TOP 3") == v["$c3"]
+    assert first("RANK EDGE c:Claim LIKE ($cat AS buyer OR provider) PREFER c.amount NEAR 15 SCALE 10 WEIGHTS (roles 1, attributes 0) TOP 3") == v["$c2"]
+    with pytest.raises(ValueError):
+        session.run("RANK EDGE c:Claim LIKE ($cat) WEIGHTS (nothing 1) TOP 3")
+
+
+def test_views_indexes_and_tenants(session):
+    session.run("CREATE VIEW sizes AS CARDINALITY; CREATE VIEW busy AS DEGREE CONTINUOUS")
+    before = session.run("VIEW sizes KEY $c3").first().cardinality
+    session.run("ADD $pill TO $c3")
+    assert session.run("VIEW sizes KEY $c3").first().cardinality == before
+    shown = {r.name: (r.kind, r.behind) for r in session.run("SHOW VIEWS").collect()}
+    assert shown == {"sizes": ("CARDINALITY", 1), "busy": ("DEGREE", 0)}
+    session.run("REFRESH VIEW sizes")
+    assert session.run("VIEW sizes KEY $c3").first().cardinality == before + 1
+    assert session.run("VIEW busy KEY $pill").first().degree == session.run("INCIDENT TO $pill").count()
+    session.run("REMOVE $pill FROM $c3; DROP VIEW sizes")
+    assert [r.name for r in session.run("SHOW VIEWS").collect()] == ["busy"]
+    session.run("CREATE INDEX ON Person (age); CREATE JSON INDEX ON Person ('$.zip') AS INT")
+    for text in ("CREATE INDEX ON Person (nothing)", "USE TENANT nobody", "USE BRANCH nowhere", "DROP BRANCH main", "VIEW sizes"):
+        with pytest.raises(ValueError):
+            session.run(text)
+    session.run("CREATE TENANT other; USE TENANT other")
+    assert session.run("MATCH p RETURN count(*)").first()[0] == 0
+    session.run("USE TENANT default")
+
+
+def test_compaction_loading_and_branches(session):
+    before = sorted(values(session.run("MATCH c:Claim RETURN id(c), card(c)")))
+    old = session.base
+    new = session.run("COMPACT")
+    assert new > old and sorted(values(session.run("MATCH c:Claim RETURN id(c), card(c)"))) == before
+    assert sorted(values(session.run(f"AT GENERATION {old} MATCH c:Claim RETURN id(c), card(c)"))) == before
+    top = session.store.top()
+    people = session.spark.range(50).selectExpr(f"id + {top + 1} AS atom_id", "'Person' AS type", "'NODE' AS kind", "concat('p', id) AS key")
+    session.load(atoms=people)
+    assert session.run("MATCH p:Person WHERE key(p) = 'p49' RETURN id(p)").first()[0] == top + 50
+    assert session.run("INSERT NODE Person {name: 'New'}") == top + 51
+    session.run("CREATE BRANCH short")
+    session.run("DROP BRANCH short")
+    assert "short" not in values(session.run("SHOW BRANCHES"))
+
+
+def test_manifests_are_exclusive(spark, tmp_path):
+    from hyperweave.sources.store import Conflict, GraphStore
+
+    a, b = GraphStore(spark, f"file://{tmp_path}"), GraphStore(spark, f"file://{tmp_path}")
+    a.commit({}, "main", 0)
+    target = f"{b.path}/commits/000000001.json"
+    draft = f"{b.path}/commits/.draft"
+    with b.fs.open_output_stream(draft) as f:
+        f.write(b"{}")
+    with pytest.raises(Conflict):
+        b._publish(draft, target)
+    assert len(b.commits()) == 1 and a.commit({}, "main", 1) == 2
