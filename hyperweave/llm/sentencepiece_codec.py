@@ -276,25 +276,31 @@ def _groups(docs: list[bytes], limit: int = 1 << 20) -> Iterator[list[str]]:
 def encode_documents(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text, and the ids themselves where asked for.
 
-    `model` is the path of the model file on every machine. Rows stay as they are: repeated ids give repeated rows.
+    `model` is the path of the model file on every machine. Null and empty texts have the begin and end ids alone and decode to
+    an empty text; texts of any length are encoded whole. Rows stay as they are: repeated ids give repeated rows, no rows none.
+    Columns other than doc_id and text are ignored, whatever their names.
     """
     fields = f"doc_id long, {SCHEMA}" + ", ids binary" * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         gc.disable()  # millions of cached strings and no cycles
-        for batch in batches:
-            n, a, b, raw = [], [], [], []
-            for group in _groups(texts(batch.column(1))):
-                for ids in c.encode(group):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-                    if with_ids:
-                        raw.append(ids)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())] if with_ids else columns, [*names, "ids"] if with_ids else names)
+        try:
+            for batch in batches:
+                n, a, b, raw = [], [], [], []
+                for group in _groups(texts(batch.column(1))):
+                    for ids in c.encode(group):
+                        n.append(len(ids) // 4)
+                        a.append(hashlib.sha256(ids).hexdigest())
+                        b.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+                        if with_ids:
+                            raw.append(ids)
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())] if with_ids else columns, [*names, "ids"] if with_ids else names)
+        finally:  # the process goes on to tasks of other operators
+            c.cache.clear()
+            gc.enable()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, fields)

@@ -44,7 +44,7 @@ DISCOUNT = 0.75
 #: Words that say nothing, added to each text: a mean over a handful of words is mostly chance.
 PRIOR_WORDS = 20
 #: Distinct words whose ratios a process remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 _BEGIN, _END = 1, 2
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -372,7 +372,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
 
     held_out: crc32 of the id as text is 0 modulo 5; labels of such rows aren't learned from. Null and empty texts have the
-    feature 0, as have all without labels of both classes. Repeated texts of a class count once in the fit.
+    feature 0, as have all without labels of both classes. Repeated texts of a class count once in the fit; an id with several
+    labels is toxic if one says so; null labels and labels of null ids don't count. Repeated rows and ids give repeated rows, no
+    rows none. Texts are scored whole; equal features have equal scores. Other columns are ignored, whatever their names.
     """
     model = train(docs, labels)
 
