@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperweave.llm.common import filesystem, partitions, shared_dir, texts, written
+from hyperweave.llm.common import bounded_batches, filesystem, partitions, shared_dir, texts, written
 
 WIDTH = 64
 #: Bytes after which a task begins another shard, and the length of a PNG's signature and IHDR chunk.
@@ -123,7 +123,8 @@ def store(docs: DataFrame, uri: str) -> DataFrame:
     """Writes payloads of docs (doc_id, text) to shards under `uri`; the catalog's rows refer to the first copy of each payload."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(docs.mapInArrow(_store(uri), CATALOG), "catalog")
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    # A written table, so that the join may split the rows of a payload that very many documents share.
+    first = written(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")), "first")
     return rows.select("doc_id", "n_bytes", "digest").join(first, "digest").select("doc_id", "n_bytes", "digest", "at.shard", "at.offset", "at.length")
 
 
@@ -155,9 +156,14 @@ def _each(catalog: DataFrame) -> DataFrame:
     return found.repartition(partitions(catalog.sparkSession), "shard").sortWithinPartitions("shard", "offset")
 
 
+def headers(catalog: DataFrame, uri: str) -> DataFrame:
+    """Width, height and bits of each payload of the catalog, for which only headers are read."""
+    return _each(catalog).mapInArrow(_read(uri, False), "digest string, width int, height int, bits int")
+
+
 def metadata(catalog: DataFrame, uri: str) -> DataFrame:
-    """The catalog with width, height and bits, for which only headers are read."""
-    return catalog.join(_each(catalog).mapInArrow(_read(uri, False), "digest string, width int, height int, bits int"), "digest")
+    """The catalog with the metadata columns that headers fill."""
+    return catalog.join(written(headers(catalog, uri), "headers"), "digest")
 
 
 def features(catalog: DataFrame, uri: str) -> DataFrame:
@@ -167,7 +173,15 @@ def features(catalog: DataFrame, uri: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores every text of docs (doc_id, text) and reads it back; null is an empty text, repeated rows give repeated rows."""
+    """Stores every text of docs (doc_id, text) and reads it back, with digests, a feature and the metadata columns.
+
+    Null is an empty text, whose payload is 64 zero bytes. Repeated rows and ids give repeated rows, and equal texts equal
+    values; no rows give no rows and no shards. A payload is held in memory whole, a text of any length being one. Columns
+    other than doc_id and text are ignored, whatever their names.
+    """
+    bounded_batches(docs.sparkSession)
     uri = shared_dir(docs.sparkSession) + "/media"
     catalog = written(store(docs, uri), "references")
-    return metadata(catalog, uri).join(features(catalog, uri), "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
+    # Once for each payload; only then do the rows of the catalog join, in one step that can be split where many share a payload.
+    known = written(headers(catalog, uri).join(features(catalog, uri), "digest"), "payloads")
+    return catalog.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from hyperweave.llm.common import SPACE_CLASS, written
 
-#: Documents in a block about, and bounds on the blocks of a source; levels of the tree give 2**levels shards.
-BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS, LEVELS = 2000, 8, 4096, 3
+#: Documents in a block about, and the least blocks of a source; levels of the tree give 2**levels shards.
+BLOCK_ROWS, LEAST_BLOCKS, LEVELS = 2000, 8, 3
 #: Bits of the slices of a shard that are numbered apart.
 SLICE_BITS = 8
 
@@ -72,6 +72,25 @@ def _plan(rows: DataFrame, wanted: DataFrame, seed: int, repeat: int) -> DataFra
     return placed.select("key", "block", "place", (passes + more.cast("long")).alias("passes"), F.when(~more & (F.col("before") < rest), rest - F.col("before")).otherwise(0).cast("long").alias("part"))
 
 
+def _halved(draws: DataFrame, order: Column) -> DataFrame:
+    """Rows (key, block, ..., draw, node) with the child that each goes to: of a node's rows by `order` the first half goes left.
+
+    Leading bits of the order make slices. Counts of slices, which are summed before they are shuffled, say which slice the
+    middle of a node falls into, and only the rows of that one are put in order.
+    """
+    rows = draws.withColumn("order", order).withColumn("slice", F.shiftrightunsigned("order", 64 - SLICE_BITS).cast("int"))
+    counts = rows.groupBy("node", "slice").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("node").orderBy("slice"))
+    half = F.floor((F.sum("n").over(W.partitionBy("node")) + 1) / 2)
+    # Rows before the slice, and how many of the slice go left: all, none or, in the middle one, some.
+    left = counts.select("node", "slice", F.greatest(F.lit(0), F.least(F.col("n"), half - (upto - F.col("n")))).alias("left"), "n")
+    placed = rows.join(F.broadcast(left), ["node", "slice"])  # a bounded number of slices for each of at most 2**levels nodes
+    clear = placed.where("left = 0 or left = n").withColumn("right", (F.col("left") == 0).cast("int"))
+    rank = F.row_number().over(W.partitionBy("node", "slice").orderBy("order", "key", "draw"))
+    middle = placed.where("left > 0 and left < n").withColumn("right", (rank > F.col("left")).cast("int"))
+    return clear.unionByName(middle).withColumn("node", 2 * F.col("node") + F.col("right")).select(*draws.columns)
+
+
 def splitting_tree(plan: DataFrame, levels: int, seed: int) -> DataFrame:
     """(key, block, shards): the shard of each draw of each block, drawn in part or whole."""
     turns = plan.select("key", "block", "place", (F.col("passes") + (F.col("part") > 0).cast("long")).alias("turns")).where("turns > 0")
@@ -79,9 +98,7 @@ def splitting_tree(plan: DataFrame, levels: int, seed: int) -> DataFrame:
     ordered = draws.withColumn("draw", F.row_number().over(W.partitionBy("key").orderBy("turn", "place")))
     node = ordered.withColumn("node", F.lit(0))
     for level in range(levels):
-        at = W.partitionBy("node")
-        rank = F.row_number().over(at.orderBy(F.xxhash64(F.lit(seed + 2 + level), "key", "draw"), "key", "draw"))
-        node = node.withColumn("node", 2 * F.col("node") + (2 * rank > F.count("*").over(at) + 1).cast("int"))
+        node = written(_halved(node, F.xxhash64(F.lit(seed + 2 + level), "key", "draw")), "node")
     quotas = node.groupBy("key", "node").agg(F.count("*").alias("quota"))
     ends = quotas.withColumn("end", F.sum("quota").over(W.partitionBy("key").orderBy("node")))
     dealt = ends.select("key", F.col("node").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("quota") + 1, F.col("end"))).alias("draw"))
@@ -97,7 +114,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int =
     """
     rows = written(sizes(docs), "sizes")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # a null source is a source, too
-    blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("docs") / BLOCK_ROWS)))
+    blocks = F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("docs") / BLOCK_ROWS))
     wanted = targets(rows, weights, repeat).select(key.alias("key"), "source_size", "target", blocks.cast("int").alias("blocks"), F.least(F.round("target").cast("long"), F.col("source_size") * repeat).alias("quota"))
     wanted = written(wanted, "targets")
     keyed = _blocks(rows.withColumn("key", key).join(wanted.select("key", "blocks", "source_size", "target"), "key"), seed)
