@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from hyperweave.llm.common import bounded_batches, groups, in_fold, texts
 
 WINDOW, HIDDEN = 64, 8
-#: Training reads at most so many rows of each language (in expectation, by a hash of the id), and so many windows of each.
-ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 600, 4
+#: Training reads at most so many rows of each language, in expectation, by a hash of the id, and of these the whole texts.
+ROWS_PER_LANGUAGE = 600
 STEPS, BATCH, RATE = 240, 512, 0.02
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -141,35 +141,37 @@ def windows(docs: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     return np.ascontiguousarray(data.T), np.repeat(np.arange(len(docs)), counts)
 
 
-def _sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
-    """Windows of a bounded share of the rows that may be learned from; the rate of a language is its bound over its count."""
+def _inside(docs: list[bytes], owner: np.ndarray) -> np.ndarray:
+    """(T, B): 1 for the bytes of the windows of all texts, 0 for padding."""
+    lengths, first = np.array([len(t) for t in docs], dtype=np.int64), np.searchsorted(owner, np.arange(len(docs)))
+    left = lengths[owner] - (np.arange(len(owner)) - first[owner]) * WINDOW
+    return (np.arange(WINDOW)[:, None] < left).astype(np.float32)
+
+
+def _sample(docs: DataFrame) -> list[tuple[str, str]]:
+    """(lang, text) of a bounded share of the rows that may be learned from; the rate of a language is its bound over its count."""
     rows = docs.where(F.col("lang").isNotNull() & ~in_fold(F.col("doc_id")) & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
     rates = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, ROWS_PER_LANGUAGE / n)))])
     chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    room = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
-    cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(k), "doc_id"), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_PER_ROW)]
-    picked = rows.where(chance < rates[F.col("lang")]).select("lang", "doc_id", F.array(*cuts).alias("cuts"))
-    return sorted((r["lang"], r["doc_id"], list(r["cuts"])) for r in picked.collect())
+    return sorted((r["lang"], r["text"]) for r in rows.where(chance < rates[F.col("lang")]).select("lang", "text").collect())
 
 
 def train(docs: DataFrame) -> tuple[list[str], Network] | None:
-    """The languages and a network, learned from text and lang of documents outside fold 0; None without such rows."""
+    """The languages and a network, learned from text and lang of documents outside fold 0; None without such rows.
+
+    Every window of the sampled texts can be drawn, each language as often as any other. Repeated rows count as often as they
+    occur; the sample is sorted, so the order of rows changes nothing.
+    """
     sample = _sample(docs)
-    languages = sorted({r[0] for r in sample})
-    if not languages:
-        return None
-    cut = [(languages.index(r[0]), t.encode()[:WINDOW]) for r in sample for t in r[2] if t]
-    if not cut:
+    languages = sorted({k for k, _ in sample})
+    cut, owner = windows(found := [t.encode() for _, t in sample])
+    if not len(owner):
         return None
-    data = np.zeros((WINDOW, len(cut)), dtype=np.uint8)
-    inside = np.zeros((WINDOW, len(cut)), dtype=np.float32)
-    for k, (_, t) in enumerate(cut):
-        data[: len(t), k], inside[: len(t), k] = np.frombuffer(t, dtype=np.uint8), 1
     net = Network(len(languages))
-    net.fit(data, inside, np.array([x for x, _ in cut]))
+    net.fit(cut, _inside(found, owner), np.array([languages.index(k) for k, _ in sample])[owner])
     return languages, net
 
 
@@ -179,11 +181,9 @@ def pooled(net: Network, docs: list[bytes]) -> np.ndarray:
     data, owner = windows(docs)
     lengths = np.array([len(t) for t in docs])
     total = np.zeros((len(docs), labels))
-    first = np.searchsorted(owner, np.arange(len(docs)))
-    left = lengths[owner] - (np.arange(len(owner)) - first[owner]) * WINDOW
+    every = _inside(docs, owner)
     for i in range(0, data.shape[1], 2048):
-        part = np.ascontiguousarray(data[:, i : i + 2048])
-        inside = (np.arange(WINDOW)[:, None] < left[i : i + 2048]).astype(np.float32)
+        part, inside = np.ascontiguousarray(data[:, i : i + 2048]), np.ascontiguousarray(every[:, i : i + 2048])
         p = net.probabilities(net.states(part, inside))
         p *= inside[:, None, :]
         np.add.at(total, owner[i : i + 2048], p.sum(axis=0).T)
@@ -194,8 +194,11 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text, lang).
 
     held_out: crc32 of the id as text is 0 modulo 5; such rows aren't learned from. lang_pred is a learned language, or `und`
-    with score 0 where the text is null, has no letter, or nothing could be learned. score is the mean probability.
+    with score 0 where the text is null, has no letter, or nothing could be learned. score is the mean probability over all
+    bytes of the text, however long. Of languages with equal probability the first by code point is taken; repeated rows and
+    ids give repeated rows; no rows give no rows. Other columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     model = train(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,87 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def mix_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of op4 comes to in each source."""
+    return op4_source_mixing(spark, sf_dir).groupBy("source").agg(F.count("*").alias("docs"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"), F.sum("taken").alias("taken"), F.max((F.col("taken") > 3 * F.col("size")).cast("int")).alias("over"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6 doesn't depend on the compression of the media."""
+    return op6_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 the text alone says: decoding gives it back, and empty texts have the begin and end ids."""
+    return op10_sentencepiece(spark, sf_dir).select("doc_id", "decoded_sha256", (F.col("n_tokens") == 2).alias("no_tokens"))
+
+
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents
+), found AS (
+  SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sized GROUP BY source
+), cut AS (
+  SELECT a.*, (SELECT sum(b.source_size) FROM found b)
+      - 3 * coalesce((SELECT sum(b.source_size) FROM found b WHERE b.source_size / b.weight < a.source_size / a.weight), 0) AS words,
+    (SELECT sum(b.weight) FROM found b WHERE b.source_size / b.weight >= a.source_size / a.weight) AS over
+  FROM found a
+), level AS (
+  SELECT arg_max(words / over, words) FILTER (WHERE 3 * source_size * over > words * weight) AS share FROM cut
+)
+SELECT source, docs, source_size, round(CASE WHEN 3 * source_size <= share * weight THEN 3.0 * source_size ELSE share * weight END, 3) AS target,
+  least(round(CASE WHEN 3 * source_size <= share * weight THEN 3.0 * source_size ELSE share * weight END), 3 * source_size)::BIGINT AS taken, 0 AS over
+FROM cut, level
+"""
+
+OP6_SQL = r"""
+SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, padded AS payload_bytes,
+  sha256(unhex(rpad(hex(encode(coalesce(text, ''))), (2 * padded)::INT, '0'))) AS payload_sha256, 64::BIGINT AS width, padded // 64 AS height
+FROM (SELECT *, greatest(64, 64 * ceil(octet_length(encode(coalesce(text, ''))) / 64))::BIGINT AS padded FROM documents)
+"""
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), places AS (
+  SELECT doc_id, i, hash(s) AS a, hash(s || '.') AS b
+  FROM (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, unnest(range((len(h) // 2 - 49)::BIGINT)) AS i, h FROM d WHERE len(h) >= 100))
+), firsts AS (
+  SELECT a, b, min(doc_id) AS first FROM places GROUP BY a, b HAVING min(doc_id) <> max(doc_id)
+), hits AS (
+  SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM places JOIN firsts USING (a, b) WHERE first < doc_id
+), runs AS (
+  SELECT doc_id, i, sum((coalesce(gap, 51) > 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run
+), ends AS (
+  SELECT doc_id, a, b, lag(b, 1, 0::BIGINT) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), gone AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY doc_id
+), head AS (
+  SELECT ends.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h FROM ends JOIN d USING (doc_id) GROUP BY ends.doc_id
+)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN d.h ELSE head.h || substr(d.h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN head ON head.doc_id = d.doc_id
+"""
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
+  sum(12 + length(role) + (length(role) - length(translate(role, '\<[' || chr(10), ''))) + 1 + length(text) + (length(text) - length(translate(text, '\<[', ''))) + 11)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+TOKENS_SQL = "SELECT doc_id, sha256(encode(coalesce(text, ''))) AS decoded_sha256, coalesce(text, '') = '' AS no_tokens FROM documents"
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -144,7 +225,8 @@ texts AS (
   SELECT 'd' AS kind, doc_id, '' AS license, 0 AS notice, lower(coalesce(text, '')) AS t FROM documents
   UNION ALL SELECT 't', 0, license, notice, lower(t) FROM templates
 ), words AS (
-  SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS w FROM texts
+  SELECT *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') AS w FROM texts
 ), sets AS (
   SELECT kind, doc_id, license, notice, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS s
@@ -169,9 +251,17 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_sentencepiece": op10_sentencepiece,
+    "mix_by_source": mix_by_source,
+    "media_payloads": media_payloads,
+    "token_counts": token_counts,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op3_license_scan": OP3_SQL,
     "op5_minhash_dedup": OP5_SQL,
+    "op7_suffix_dedup": OP7_SQL,
+    "op9_chat_format": OP9_SQL,
+    "mix_by_source": OP4_SQL,
+    "media_payloads": OP6_SQL,
+    "token_counts": TOKENS_SQL,
 }

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hyperweave.llm import chat_format, language_id, license_scan, media_columns, minhash_dedup, quality_rules, source_mixing, suffix_dedup, toxicity
 from hyperweave.llm.common import shingle_sets, shingles
@@ -318,6 +319,75 @@ def test_network_gradients():
             assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.05, abs=1e-4)
 
 
+def test_language_scores_follow_the_equations():
+    """Pooled probabilities against the network written out for a byte at a time; a text that ends inside a window, and one of several."""
+    net = language_id.Network(3, hidden=4)
+    w, size = {k: v.astype(float) for k, v in net.weights.items()}, language_id.WINDOW
+
+    def layer(k, data):
+        state, out = np.zeros(4), []
+        for byte in data:
+            x, r = w["inputs"][k][:, byte], w["recurrent"][k] @ state
+            update, reset = (1 / (1 + np.exp(-(x[i : i + 4] + r[i : i + 4]))) for i in (0, 4))
+            new = np.tanh(x[8:] + reset * (r[8:] + w["bias"][k][:, 0]))
+            state = update * state + (1 - update) * new
+            out.append(state)
+        return out
+
+    def text(data):
+        total = np.zeros(3)
+        for at in range(0, len(data), size):
+            part = data[at : at + size]
+            for f, b in zip(layer(0, part), layer(1, part[::-1])[::-1], strict=True):
+                z = w["output"][0] @ f + w["output"][1] @ b + w["offset"][:, 0]
+                total += np.exp(z) / np.exp(z).sum()
+        return total / max(1, len(data))
+
+    docs = [b"", b"x", "Übergang ohne Ende".encode(), bytes(range(1, 200)), b"a" * size, b"the river " * 30]
+    assert language_id.pooled(net, docs) == pytest.approx(np.array([text(t) for t in docs]), abs=1e-4)
+
+
+def test_language_of_repeated_rows_and_long_texts(spark):
+    rows = [(i, "bado keli mora " * 9, "aa") if i % 2 else (i, "straßung tzich heit " * 9, "bb") for i in range(60)]
+    long = "bado keli mora " * 40_000
+    df = spark.createDataFrame(rows + rows[:4] + [(500, long, None), (500, long, None)], "doc_id long, text string, lang string")
+    got = language_id.identify(df).collect()
+    assert len(got) == 66 and all(r.lang_pred == ("aa" if r.doc_id % 2 or r.doc_id == 500 else "bb") for r in got)
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 61
+
+
+def test_mixing_tree_halves_each_node(spark):
+    """Of a node's draws half go left, to one, whatever slices the middle falls into; sources come as a random half would have them."""
+    rows = [("a", k, d) for k, d in enumerate(range(1, 701))] + [("b", k, d) for k, d in enumerate(range(1, 300))]
+    draws = spark.createDataFrame(rows, "key string, block int, draw long").withColumn("node", F.lit(0)).select("key", "block", "draw", "node")
+    for seed in (1, 2):
+        once = source_mixing._halved(draws, F.xxhash64(F.lit(seed), "key", "draw"))
+        twice = source_mixing._halved(once, F.xxhash64(F.lit(seed + 9), "key", "draw"))
+        assert [r["count"] for r in once.groupBy("node").count().orderBy("node").collect()] == [500, 499]
+        assert [r["count"] for r in twice.groupBy("node").count().orderBy("node").collect()] == [250, 250, 250, 249]
+        assert 300 < once.where("node = 0 and key = 'a'").count() < 400
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["op7_suffix_dedup", "op9_chat_format", "mix_by_source", "media_payloads"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from hyperweave.llm import queries as Q
+
+    db = duckdb.connect()
+    for p in Path(SMALL).glob("*.parquet"):
+        db.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = Q.QUERIES[name](spark, SMALL)
+    columns = sorted(df.columns)
+    want = db.sql(f"SELECT {', '.join(columns)} FROM ({Q.ORACLES[name]})").fetchall()
+    plain = lambda rows: sorted(tuple(f"{x:.3f}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+    assert plain(df.select(*columns).collect()) == plain(want)
+
+
 def test_language(spark, empty):
     rng = random.Random(5)
     make = {"aa": "bado keli mora", "bb": "straßung tzich heit", "cc": "éleau ouxque ê"}
