@@ -156,14 +156,10 @@ def _each(catalog: DataFrame) -> DataFrame:
     return found.repartition(partitions(catalog.sparkSession), "shard").sortWithinPartitions("shard", "offset")
 
 
-def headers(catalog: DataFrame, uri: str) -> DataFrame:
-    """Width, height and bits of each payload of the catalog, for which only headers are read."""
-    return _each(catalog).mapInArrow(_read(uri, False), "digest string, width int, height int, bits int")
-
-
 def metadata(catalog: DataFrame, uri: str) -> DataFrame:
-    """The catalog with the metadata columns that headers fill."""
-    return catalog.join(written(headers(catalog, uri), "headers"), "digest")
+    """The catalog with width, height and bits, for which only headers are read."""
+    found = _each(catalog).mapInArrow(_read(uri, False), "digest string, width int, height int, bits int")
+    return catalog.join(written(found, "headers"), "digest")
 
 
 def features(catalog: DataFrame, uri: str) -> DataFrame:
@@ -183,5 +179,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     uri = shared_dir(docs.sparkSession) + "/media"
     catalog = written(store(docs, uri), "references")
     # Once for each payload; only then do the rows of the catalog join, in one step that can be split where many share a payload.
-    known = written(headers(catalog, uri).join(features(catalog, uri), "digest"), "payloads")
+    each = written(catalog.groupBy("digest").agg(F.first(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "each")
+    known = written(metadata(each, uri).drop("shard", "offset", "length").join(features(each, uri), "digest"), "payloads")
     return catalog.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
