@@ -667,13 +667,23 @@ def similar_topk(spark, sf):
     return semantic.nearest(vectors, _QUERY, 20).select("atom_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+_HASHED = """t AS (SELECT 20000000000 + p_partkey AS atom_id, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS tok FROM part UNION ALL SELECT -1, unnest(['small', 'ring'])),
+f AS (SELECT atom_id, tok AS x, 1.0::DOUBLE AS w FROM t UNION ALL SELECT atom_id, substr('^' || tok || '$', i::INT, 3), 0.5 FROM (SELECT atom_id, tok, unnest(range(1, length(tok) + 1)) AS i FROM t)),
+h AS (SELECT atom_id, ('0x' || substr(md5(x), 1, 15))::BIGINT % 64 AS dim, sum(CASE WHEN substr(md5(x), 16, 1) >= '8' THEN w ELSE -w END) AS v FROM f GROUP BY 1, 2),
+u AS (SELECT atom_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY atom_id)) AS v FROM h)"""
+
+
+@query(f"WITH {_HASHED} SELECT atom_id, dim, round(v, 4) AS value FROM u WHERE v <> 0 AND atom_id > 0")
 def encoder_hashing(spark, sf):
     docs = R.nodes(spark, sf, "Part").select("atom_id", F.col("name").alias("text"))
-    return semantic.embed(docs, 64)
+    each = semantic.embed(docs, 64).select("atom_id", F.posexplode("vector").alias("dim", "value"))
+    return each.where("value <> 0").select("atom_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
-@query()
+@query(f"WITH {_HASHED}, d AS (SELECT a.atom_id, 1 - sum(a.v * b.v) AS distance FROM u a JOIN u b ON b.atom_id = -1 AND a.dim = b.dim WHERE a.atom_id > 0 GROUP BY a.atom_id) SELECT round(distance, 4) AS distance, count(*) AS n FROM d WHERE distance < 0.6 GROUP BY 1")
 def similar_text(spark, sf):
+    """How many parts there are at each distance under 0.6; equal distances are told apart by rounding errors alone."""
     docs = R.nodes(spark, sf, "Part").select("atom_id", F.col("name").alias("text"))
-    return semantic.nearest(semantic.embed(docs, 64), semantic.encode_text("small ring", 64).tolist(), 10)
+    target = semantic.encode_text("small ring", 64).tolist()
+    found = semantic.embed(docs, 64).select(semantic.cosine_distance(F.col("vector"), F.array(*[F.lit(x) for x in target])).alias("d"))
+    return found.where("d < 0.6").groupBy(F.round("d", 4).alias("distance")).agg(F.count("*").alias("n"))

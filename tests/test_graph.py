@@ -249,7 +249,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["overlap_join_t2", "scatter_weighted", "match_aggregate", "rank_prefer", "diff_snapshots", "diff_updates", "pattern_subset", "pattern_typed_member", "expand_depth2", "expand_depth1", "merge_conflicts", "merge_keep_target", "merge_properties", "trace_provenance", "sample_swaps"])
+@pytest.mark.parametrize("name", ["overlap_join_t2", "scatter_weighted", "match_aggregate", "rank_prefer", "diff_snapshots", "diff_updates", "pattern_subset", "pattern_typed_member", "expand_depth2", "expand_depth1", "merge_conflicts", "merge_keep_target", "merge_properties", "trace_provenance", "sample_swaps", "encoder_hashing", "similar_text"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
