@@ -196,6 +196,42 @@ def test_license_scan_finds_all_cut_notices(spark):
     assert got == {(i, f"t{k}", 14, 17) for i, (k, _) in enumerate(rows)}
 
 
+def test_license_windows_are_minhashed(spark):
+    """Windows of several shingles keep the least hash of each, and a shorter array is one window."""
+    runs = [list(range(100, 70, -1)), [5, 3, 9, 1, 7, 7, 2, 8, 6, 4, 0, 11], [2, 1], [4], []]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i long, run array<bigint>")
+    got = {r.i: r.m for r in df.select("i", license_scan._mins(F.col("run"), [1, 4, 8, 13], lambda _, m: m).alias("m")).collect()}
+    for i, run in enumerate(runs):
+        for size in (1, 4, 8, 13):
+            assert got[i][f"w{size}"] == [min(run[k : k + size]) for k in range(max(1, len(run) - size + 1)) if run]
+    keys = license_scan._keys(license_scan.template_table(spark, license_scan.TEMPLATES)).groupBy("license", "notice").agg(F.max("scale").alias("s"), F.countDistinct("band").alias("b")).collect()
+    assert {(r.license, r.notice): (r.s, r.b) for r in keys if r.license in ("MIT", "BSD")} == {("MIT", 0): (1, 1), ("MIT", 1): (8, license_scan.BANDS), ("BSD", 0): (8, license_scan.BANDS)}
+
+
+def test_license_windows_meet_copies_and_the_sketch_meets_pieces(spark, monkeypatch):
+    """Notices cut or edited at an end are met by windows; of those in single shingles between other words, one band misses some, the sketch none."""
+    monkeypatch.setattr(license_scan, "BANDS", 1)
+    rng, rows, copies, pieces = random.Random(4), [], set(), set()
+    templates = license_scan.TEMPLATES | {f"t{k}": (" ".join(f"w{k}x{i}" for i in range(8)),) for k in range(60)}
+    for license_, notices in templates.items():
+        for k, notice in enumerate(notices):
+            w = notice.split()
+            lacking = (len(w) - 4) // 5
+            cut = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
+            rng.shuffle(cut)
+            whole = [[notice], [" ".join(w[lacking:])], [" ".join(["x"] * lacking + w[lacking:])], [" ".join(w[: len(w) - lacking])]]
+            for kind, parts in [*((copies, c) for c in whole), (pieces, cut[lacking:]), (set(), cut[lacking + 1 :])]:
+                kind.add((len(rows), license_, k))
+                rows.append((len(rows), " ".join(f"a{rng.random()} b c d {p} e f g h{rng.random()}" for p in parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = {(r.doc_id, r.license, r.notice): r.by_windows for r in license_scan.candidates(df, templates).collect()}
+    assert all(met[x] for x in copies) and not all(met[x] for x in pieces)
+    got = {(r.doc_id, r.license, r.notice) for r in license_scan.license_scan(df, templates).collect()}
+    sets = {(x, k): true_set(n.lower(), 5) for x, v in templates.items() for k, n in enumerate(v)}
+    assert got == {(i, x, k) for i, t in rows for (x, k), s in sets.items() if 100 * len(s & true_set(t.lower(), 5)) >= 80 * len(s)}
+    assert got >= copies | pieces
+
+
 def water_fill(sizes, weights, repeat=3):
     left, free, out = float(sum(sizes.values())), set(sizes), {}
     while free:
