@@ -27,7 +27,8 @@ WIDTH = 64
 #: Bytes after which a task begins another shard, and the length of a PNG's signature and IHDR chunk.
 SHARD, HEADER = 256 << 20, 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-CATALOG = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+#: The digest is the 32 bytes, as hexadecimal digits would double what is shuffled and written.
+CATALOG = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
 
 def payload(text: bytes) -> bytes:
@@ -82,10 +83,10 @@ class _Shard:
         self.name, self.path, self.draft = name, f"{folder}/{name}", f"{folder}/.{name}-{uuid.uuid4().hex}"
         self.out, self.size, self.held = self.fs.open_output_stream(self.draft), 0, {}
 
-    def add(self, media: bytes) -> tuple[str, int, int]:
-        digest = hashlib.sha256(media).hexdigest()
+    def add(self, media: bytes) -> tuple[bytes, int, int]:
+        digest = hashlib.sha256(media).digest()
         if digest not in self.held:
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(media)
             self.out.write(info.tobuf(tarfile.USTAR_FORMAT) + media + bytes(-len(media) % 512))
             self.held[digest] = self.size + 512
@@ -111,7 +112,7 @@ def _store(uri: str):
                 if shard.size >= SHARD:
                     shard.close()
                     shard, n = None, n + 1
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         if shard is not None:
             shard.close()
@@ -119,13 +120,19 @@ def _store(uri: str):
     return run
 
 
-def store(docs: DataFrame, uri: str) -> DataFrame:
-    """Writes payloads of docs (doc_id, text) to shards under `uri`; the catalog's rows refer to the first copy of each payload."""
+def _stored(docs: DataFrame, uri: str) -> tuple[DataFrame, DataFrame]:
+    """Writes payloads to shards under `uri`: doc_id, n_bytes and digest of all rows, and where each digest is stored first."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(docs.mapInArrow(_store(uri), CATALOG), "catalog")
-    # A written table, so that the join may split the rows of a payload that very many documents share.
-    first = written(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")), "first")
-    return rows.select("doc_id", "n_bytes", "digest").join(first, "digest").select("doc_id", "n_bytes", "digest", "at.shard", "at.offset", "at.length")
+    # A written table, so that a join may split the rows of a payload that very many documents share.
+    first = written(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "first")
+    return rows.select("doc_id", "n_bytes", "digest"), first
+
+
+def store(docs: DataFrame, uri: str) -> DataFrame:
+    """Writes payloads of docs (doc_id, text) to shards under `uri`; the catalog's rows refer to the first copy of each payload."""
+    rows, first = _stored(docs, uri)
+    return rows.join(first, "digest").select("doc_id", "n_bytes", "digest", "shard", "offset", "length")
 
 
 def _read(uri: str, whole: bool):
@@ -151,20 +158,22 @@ def _read(uri: str, whole: bool):
 
 
 def _each(catalog: DataFrame) -> DataFrame:
-    """Every payload once, each shard's in order in one task."""
-    found = catalog.groupBy("digest").agg(F.first(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    """Every payload once, each shard's in order in one task; a catalog without doc_id has it once already."""
+    found = catalog.select("digest", "shard", "offset", "length")
+    if "doc_id" in catalog.columns:
+        found = found.groupBy("digest").agg(F.first(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     return found.repartition(partitions(catalog.sparkSession), "shard").sortWithinPartitions("shard", "offset")
 
 
 def metadata(catalog: DataFrame, uri: str) -> DataFrame:
     """The catalog with width, height and bits, for which only headers are read."""
-    found = _each(catalog).mapInArrow(_read(uri, False), "digest string, width int, height int, bits int")
+    found = _each(catalog).mapInArrow(_read(uri, False), "digest binary, width int, height int, bits int")
     return catalog.join(written(found, "headers"), "digest")
 
 
 def features(catalog: DataFrame, uri: str) -> DataFrame:
     """Digests of payload and media, and a feature, of each payload of the catalog, from the stored bytes."""
-    fields = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    fields = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _each(catalog).mapInArrow(_read(uri, True), fields)
 
 
@@ -177,8 +186,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     uri = shared_dir(docs.sparkSession) + "/media"
-    catalog = written(store(docs, uri), "references")
-    # Once for each payload; only then do the rows of the catalog join, in one step that can be split where many share a payload.
-    each = written(catalog.groupBy("digest").agg(F.first(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"), "each")
-    known = written(metadata(each, uri).drop("shard", "offset", "length").join(features(each, uri), "digest"), "payloads")
-    return catalog.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")
+    rows, first = _stored(docs, uri)
+    # Once for each payload; only then do the rows join, in one step that can be split where many share a payload. Digests are bytes until then.
+    digests = ("payload_sha256", "media_sha256")
+    read = features(first, uri).withColumns({c: F.unhex(c) for c in digests})
+    known = written(metadata(first, uri).drop("length").join(read, "digest"), "payloads").withColumns({c: F.lower(F.hex(c)) for c in digests})
+    return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "width", "height")

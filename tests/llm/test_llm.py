@@ -333,6 +333,21 @@ def test_media_columns_come_from_headers(docs, monkeypatch):
     assert all((r.width, -r.height * 64) == (64, r.payload_bytes) for r in got) and not {"width", "height", "bits"} & set(whole[0].columns)
 
 
+def test_media_writes_little_beside_the_media(spark, monkeypatch):
+    """The tables between the steps hold digests as bytes, and no row or place once more than is needed."""
+    written, sizes = media_columns.written, {}
+
+    def sized(df, name):
+        table = written(df, name)
+        sizes[name] = sum(Path(f.removeprefix("file:")).stat().st_size for f in table.inputFiles())
+        return table
+
+    monkeypatch.setattr(media_columns, "written", sized)
+    docs = spark.createDataFrame([(i, f"{i} {hashlib.sha256(str(i).encode()).hexdigest()}") for i in range(6000)], "doc_id long, text string").repartition(3)
+    assert media_columns.media_columns(docs).select("payload_sha256").distinct().count() == 6000
+    assert sum(sizes.values()) < 6000 * 400, sizes
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = language_id.Network(3, hidden=4)
