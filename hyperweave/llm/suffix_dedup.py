@@ -12,6 +12,8 @@ stand, and neighbouring windows with the same key form a run. Four steps pass co
 4. Each chunk removes the windows that a smaller document owns and reports on its documents.
 
 A chunk adds a key or a run at most once, so a passage that very many documents share costs no more than one that all chunks have.
+Where it begins and ends its surroundings differ by document, so a key with very many runs is hot: its runs go as single windows
+under 128-bit hashes, which are dealt out by hash, so no task gets all that stands around a common gram.
 Nulls are empty texts, texts under LENGTH bytes keep all, and rows that repeat a doc_id count as one document.
 """
 
@@ -36,6 +38,13 @@ GRAM = 20
 CHUNK, SEGMENT = 4 << 20, 1 << 18
 #: Bytes of distinct runs that are transformed at once, a key at least.
 BATCH = 1 << 18
+#: Runs from which a key is hot. Counts are rounded down to powers of four, so a key that isn't has under four times as many.
+HOT = 1 << 14
+#: Windows that are hashed at once.
+BLOCK = 1 << 15
+#: Bytes of input for each bucket, and what an estimate of the input is taken for at most.
+SHARE, LARGEST = 8 << 20, 256 << 30
+_FLAGS = np.uint64(15)
 _POSITION = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -194,8 +203,25 @@ def window_classes(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np
     return string, classes[window]
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """128-bit hashes of the windows that begin at `starts`, two words each."""
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    for i in range(0, len(starts), BLOCK):
+        at = starts[i : i + BLOCK]
+        padded = np.zeros((len(at), -(-length // 8) * 8), dtype=np.uint8)
+        padded[:, :length] = data[at[:, None] + np.arange(length)]
+        words = padded.view(np.uint64)
+        for k, seed in enumerate((_BASE, _INVERSE)):
+            found = np.full(len(at), seed, dtype=np.uint64)
+            for j in range(words.shape[1]):
+                found = mix((found ^ words[:, j]) * np.uint64(seed))
+            out[i : i + BLOCK, k] = found
+    return out
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Keys are least hashes, so small ones are many; a second hash, without the flags, deals them out evenly."""
+    return ((mix(keys >> np.uint64(4)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _store(uri: str, name: str, table: pa.Table) -> None:
@@ -217,22 +243,26 @@ def _rows(table: pa.Table) -> tuple[list, list[bytes]]:
 
 
 def _offer(uri: str, buckets: int, length: int):
-    """Step 1: (chunk, bucket, keys); a key's last bit says that several documents of the chunk have it."""
+    """Step 1: (chunk, bucket, keys); a key's last bit says that several documents of the chunk have it, three more how many runs."""
 
     def chunk(name: str, rows: pa.Table) -> pa.RecordBatch:
         _store(uri, name, rows)
         ids, docs = _rows(rows)
         index, _, _, key = runs(docs, length)
         owner = np.array([_LAST if i is None else i for i in ids], dtype=np.int64)[index]
-        key &= ~np.uint64(1)
+        key &= ~_FLAGS
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(first)
         several = owner[at] != owner[np.r_[at[1:], len(key)] - 1] if len(at) else np.empty(0, dtype=bool)
-        key = key[at] | several
-        cuts = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
+        many = np.searchsorted(4 ** np.arange(1, 8), np.diff(np.r_[at, len(key)]), side="right").astype(np.uint64)
+        key = key[at] | many << np.uint64(1) | several
+        bucket = _bucket(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        key = key[order]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = [(name, -1, b"")] + [(name, b, key[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["chunk", "bucket", "keys"])
 
@@ -253,29 +283,39 @@ def _offer(uri: str, buckets: int, length: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Step 2, for the keys of a bucket: for each chunk those that several documents have."""
-    names = table.column("chunk").to_pylist()
-    keys = [np.frombuffer(k, dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    flat, source = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    plain = flat >> np.uint64(1)
-    order = np.argsort(plain, kind="stable")
-    plain = plain[order]
-    several = (flat[order] & np.uint64(1)).astype(bool)
-    same = plain[1:] == plain[:-1]
-    several[1:] |= same
-    several[:-1] |= same
-    keep = order[several]
-    source, flat = source[keep], flat[keep] & ~np.uint64(1)
-    order = np.argsort(source, kind="stable")
-    source, flat = source[order], flat[order]
-    cuts = np.searchsorted(source, np.arange(len(keys) + 1))
-    rows = [(names[k], flat[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.string()), "keys": pa.array([r[1] for r in rows], pa.binary())})
+def _shared(hot_from: int):
+    """Step 2, for the keys of a bucket: for each chunk those that several documents have; the last bit says that a key is hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("chunk").to_pylist()
+        keys = [np.frombuffer(k, dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        flat, source = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        plain = flat >> np.uint64(4)
+        order = np.argsort(plain, kind="stable")
+        plain = plain[order]
+        edge = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
+        number = np.add.reduceat(np.int64(1) << (flat[order] & _FLAGS & ~np.uint64(1)).astype(np.int64), edge)
+        hot = np.repeat((number >= hot_from).astype(np.uint64), np.diff(np.r_[edge, len(plain)]))
+        several = (flat[order] & np.uint64(1)).astype(bool)
+        same = plain[1:] == plain[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        keep = order[several]
+        source, flat = source[keep], flat[keep] & ~_FLAGS | hot[several]
+        order = np.argsort(source, kind="stable")
+        source, flat = source[order], flat[order]
+        cuts = np.searchsorted(source, np.arange(len(keys) + 1))
+        rows = [(names[k], flat[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.string()), "keys": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
 
 
 def _give(uri: str, buckets: int, length: int):
-    """Step 3, first half: (chunk, bucket, owners, sizes, bytes) of the chunk's distinct runs with shared keys."""
+    """Step 3, first half: (chunk, bucket, owners, sizes, bytes) of the chunk's distinct runs with shared keys.
+
+    Buckets from `buckets` on have the hashes of the distinct windows with hot keys instead, without sizes.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         name = table.column("chunk")[0].as_py()
@@ -283,38 +323,84 @@ def _give(uri: str, buckets: int, length: int):
         stored = _fetch(uri, name)
         ids, docs = _rows(stored)
         index, start, count, key = runs(docs, length)
-        plain = key & ~np.uint64(1)
-        hit = shared[np.minimum(np.searchsorted(shared, plain), len(shared) - 1)] == plain
-        index, start, count, key = index[hit], start[hit], count[hit], key[hit]
-        strings = [docs[d][s : s + c + length - 1] for d, s, c in zip(index.tolist(), start.tolist(), count.tolist(), strict=True)]
-        bucket = _bucket(key, buckets)
+        plain = key & ~_FLAGS
+        near = shared[np.minimum(np.searchsorted(shared & ~_FLAGS, plain), len(shared) - 1)]
+        hit, hot = near & ~_FLAGS == plain, (near & np.uint64(1)).astype(bool)
+        whose = np.array([_LAST if i is None else i for i in ids], dtype=np.int64)
+        rows = []
+
+        def give(where: np.ndarray, owner: np.ndarray, pack: Callable[[np.ndarray], tuple[bytes, bytes]]) -> np.ndarray:
+            """Adds a row for each bucket; the new numbers of the strings, in the order of their buckets."""
+            order = np.argsort(where, kind="stable")
+            edge = np.flatnonzero(np.r_[True, where[order][1:] != where[order][:-1]]) if len(order) else order
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=False):
+                rows.append((name, int(where[order[i]]), _pack(owner[order[i:j]]), *pack(order[i:j])))
+            new = np.empty(len(order), dtype=np.int64)
+            new[order] = np.arange(len(order))
+            return new
+
+        mine = hit & ~hot
+        runs_of = [x[mine] for x in (index, start, count)]
+        bucket = _bucket(key[mine], buckets)
         numbers: dict[bytes, int] = {}
-        number = np.array([numbers.setdefault(x, len(numbers)) for x in strings], dtype=np.int64)
+        number = np.array([numbers.setdefault(docs[d][s : s + c + length - 1], len(numbers)) for d, s, c in zip(*(x.tolist() for x in runs_of), strict=True)], dtype=np.int64)
         where, owner = np.zeros(len(numbers), dtype=np.int64), np.full(len(numbers), _LAST)
         where[number] = bucket
-        np.minimum.at(owner, number, np.array([_LAST if i is None else i for i in ids], dtype=np.int64)[index])
-        order = np.argsort(where, kind="stable")
-        new = np.empty(len(order), dtype=np.int64)
-        new[order] = np.arange(len(order))
+        np.minimum.at(owner, number, whose[runs_of[0]])
         every = list(numbers)
-        _store(uri, f"{name}.runs", pa.table({"doc": index.astype(np.int32), "start": start, "count": count.astype(np.int32), "string": new[number].astype(np.int32)}))
-        rows = []
-        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-        for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
-            if j > i:
-                mine = [every[k] for k in order[i:j]]
-                rows.append((name, b, _pack(owner[order[i:j]]), np.array([len(x) for x in mine], dtype=np.uint16).tobytes(), _pack(np.frombuffer(b"".join(mine), dtype=np.uint8))))
+
+        def strings(order: np.ndarray) -> tuple[bytes, bytes]:
+            found = [every[k] for k in order]
+            return np.array([len(x) for x in found], dtype=np.uint16).tobytes(), _pack(np.frombuffer(b"".join(found), dtype=np.uint8))
+
+        string = give(where, owner, strings)[number]
+        mine = hit & hot
+        if mine.any():
+            c = count[mine]
+            doc, first = np.repeat(index[mine], c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[mine], c)
+            begins = np.cumsum([0, *map(len, docs)])
+            hashes = window_hashes(np.frombuffer(b"".join(docs), dtype=np.uint8), begins[doc] + first, length)
+            order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+            new = np.r_[True, (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)]
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.cumsum(new) - 1
+            hashes = hashes[order[new]]
+            owner = np.minimum.reduceat(whose[doc[order]], np.flatnonzero(new))
+            single = give(_bucket(hashes[:, 0], buckets) + buckets, owner, lambda order: (b"", hashes[order].tobytes()))
+            runs_of = [np.r_[x, y] for x, y in zip(runs_of, (doc, first, np.ones(len(doc), dtype=np.int64)), strict=True)]
+            string = np.r_[string, single[number] + len(numbers)]
+        _store(uri, f"{name}.runs", pa.table({"doc": runs_of[0].astype(np.int32), "start": runs_of[1], "count": runs_of[2].astype(np.int32), "string": string.astype(np.int32)}))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "owners", "sizes", "bytes"])
 
     return run
 
 
-def _own(length: int):
+def _stretches(name: str, bucket: int, whose: np.ndarray) -> tuple[str, int, bytes, bytes]:
+    edge = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+    return name, bucket, _pack(np.diff(np.r_[edge, len(whose)])), _pack(whose[edge])
+
+
+def _own(buckets: int, length: int):
     """Step 3, second half, for a bucket: owners of the windows of each chunk's runs, as lengths and values of equal stretches."""
 
+    def windows(table: pa.Table, owners: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Each chunk's owners of windows with hot keys."""
+        hashes = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint64).reshape(-1, 2)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        new = np.r_[True, (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)]
+        whose = np.empty(len(order), dtype=np.int64)
+        whose[order] = np.minimum.reduceat(np.concatenate(owners)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        ends = np.cumsum([len(x) for x in owners])
+        return (whose[j - len(x) : j] for x, j in zip(owners, ends, strict=True))
+
+    def answer(rows: list[tuple[str, int, bytes, bytes]]) -> pa.Table:
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "lengths", "values"])
+
     def run(table: pa.Table) -> pa.Table:
         names, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
         owners = [_unpack(x, np.int64) for x in table.column("owners").to_pylist()]
+        if bucket >= buckets:
+            return answer([_stretches(name, bucket, whose) for name, whose in zip(names, windows(table, owners), strict=True)])
         sizes = np.concatenate([np.frombuffer(x, dtype=np.uint16) for x in table.column("sizes").to_pylist()]).astype(np.int64)
         data = b"".join([_unpack(x, np.uint8).tobytes() for x in table.column("bytes").to_pylist()])
         ends = np.cumsum(sizes).tolist()
@@ -348,9 +434,8 @@ def _own(length: int):
             at += len(mine)
             c = counts[k]
             whose = owner[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[k], c)]
-            edge = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
-            out.append((name, bucket, _pack(np.diff(np.r_[edge, len(whose)])), _pack(whose[edge])))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "bucket", "lengths", "values"])
+            out.append(_stretches(name, bucket, whose))
+        return answer(out)
 
     return run
 
@@ -393,15 +478,21 @@ def _remove(uri: str, length: int, finish: Callable[[pa.Table, list, list], pa.T
     return run
 
 
+def _buckets(docs: DataFrame) -> int:
+    """A number that grows with partitions and with the input as the planner knows it, so that what meets in one bucket doesn't grow with either."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(4 * partitions(docs.sparkSession), min(size, LARGEST) // SHARE)
+
+
 def _steps(docs: DataFrame, length: int, finish, schema) -> DataFrame:
     """docs: rows with doc_id and text, and whatever `finish` needs besides."""
     spark = docs.sparkSession
-    uri, n = shared_dir(spark) + "/chunks", partitions(spark)
-    offered = written(docs.mapInArrow(_offer(uri, 4 * n, length), "chunk string, bucket int, keys binary"), "keys")
-    shared = offered.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, "chunk string, keys binary")
+    uri, n = shared_dir(spark) + "/chunks", _buckets(docs)
+    offered = written(docs.mapInArrow(_offer(uri, n, length), "chunk string, bucket int, keys binary"), "keys")
+    shared = offered.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared(HOT), "chunk string, keys binary")
     # Not written as a table: it is read once, and a lost part is made again from the stored chunks and keys.
-    given = shared.groupBy("chunk").applyInArrow(_give(uri, 16 * n, length), "chunk string, bucket int, owners binary, sizes binary, bytes binary")
-    owned = given.groupBy("bucket").applyInArrow(_own(length), "chunk string, bucket int, lengths binary, values binary")
+    given = shared.groupBy("chunk").applyInArrow(_give(uri, n, length), "chunk string, bucket int, owners binary, sizes binary, bytes binary")
+    owned = given.groupBy("bucket").applyInArrow(_own(n, length), "chunk string, bucket int, lengths binary, values binary")
     chunks = offered.where("bucket < 0").select("chunk", "bucket", F.lit(None).cast("binary").alias("lengths"), F.lit(None).cast("binary").alias("values"))
     return owned.union(chunks).groupBy("chunk").applyInArrow(_remove(uri, length, finish), schema)
 

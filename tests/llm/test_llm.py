@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,42 @@ def test_suffix_dedup(docs, rows, monkeypatch):
     assert text[17]["text"] == "" and text[5]["text"] == rows[5][1]
 
 
+def test_suffix_dedup_of_hot_grams(docs, rows, monkeypatch):
+    """With every shared key hot the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    raw, masks = removed(rows)
+    got = by_id(suffix_dedup.removed_digests(docs))
+    assert {i: got[i]["n_removed"] for i in raw} == {i: int(masks[i].sum()) for i in raw}
+
+
+def test_keys_fill_buckets_evenly():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(200_000)).encode()
+    number = np.bincount(suffix_dedup._bucket(suffix_dedup.runs([text], 50)[3], 64), minlength=64)
+    assert number.max() < 2 * number.mean()
+
+
+def test_surroundings_of_a_hot_gram_are_dealt_out(tmp_path):
+    """What differs around a passage that all documents share doesn't meet in one bucket."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(40))
+    stored = pa.table({"doc_id": list(range(300)), "text": [f"{word()} the passage that all share {word()}" for _ in range(300)]})
+    uri = f"file://{tmp_path}"
+    suffix_dedup._store(uri, "0-0", stored)
+    _, _, _, key = suffix_dedup.runs([t.encode() for t in stored["text"].to_pylist()], 50)
+    found, n = np.unique(key & ~np.uint64(15), return_counts=True)
+    offered = found | np.minimum(np.log(n) // np.log(4), 7).astype(np.uint64) << np.uint64(1) | (n > 1)
+    shared = suffix_dedup._shared(64)(pa.table({"chunk": ["0-0"], "keys": [offered.tobytes()]}))
+    given = suffix_dedup._give(uri, 8, 50)(shared)
+    size = [len(x) for x in given["bytes"].to_pylist()]
+    assert max(size) < sum(size) / 4
+    answer = suffix_dedup._own(8, 50)
+    owned = pa.concat_tables([answer(given.slice(i, 1)) for i in range(given.num_rows)])
+    total = sum(int(suffix_dedup._unpack(x, np.int64).sum()) for x in owned["lengths"].to_pylist())
+    doc, start, count, string = (suffix_dedup._fetch(uri, "0-0.runs")[c].to_numpy() for c in ("doc", "start", "count", "string"))
+    assert total == sum({int(s): int(c) for s, c in zip(string, count, strict=True)}.values())
+
+
 def test_window_classes_are_equal_strings():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 90))) for _ in range(30)] + [b"a" * 80] * 2
