@@ -292,7 +292,11 @@ def edge_summary(spark, sf):
 
 @query("SELECT edge_id, CAST(sum(weight_fp) AS DOUBLE) / 1000000000 / count(*) AS mean FROM basket GROUP BY edge_id")
 def group_kernel(spark, sf):
-    return flow.kernel(R.basket(spark, sf), lambda f: f.groupby("edge_id", as_index=False).agg(mean=("weight_fp", lambda w: float(w.sum()) / 1e9 / len(w))), "edge_id long, mean double")
+    def mean(frame):
+        each = frame.groupby("edge_id", as_index=False, dropna=False).agg(total=("weight_fp", "sum"), n=("weight_fp", "size"))
+        return each.assign(mean=each["total"] / 1e9 / each["n"])[["edge_id", "mean"]]
+
+    return flow.kernel(R.basket(spark, sf).select("edge_id", "weight_fp"), mean, "edge_id long, mean double")
 
 
 # --- neighbours and overlaps -----------------------------------------------------------------------------------------

@@ -68,6 +68,27 @@ def test_flow(spark, inc):
     assert {r.member_id: r.value for r in flow.scatter(inc, cost).collect()} == {ANN: 200.5, BEN: 120.5, PILL: 120.5, CAT: 80.0, E1: 0.0}
 
 
+def test_kernel_gets_whole_edges_many_at_a_time(spark):
+    """Edges of 1 to 40 members, some longer than a batch: each comes once and whole, and calls are far fewer than edges."""
+    import pandas as pd
+
+    rows = [(e, m) for e in range(300) for m in range(e % 40 + 1)]
+    df = spark.createDataFrame([*rows, (None, 1), (None, 2)], "edge_id long, member_id long")
+
+    def sizes(f):
+        return f.groupby("edge_id", as_index=False, dropna=False).agg(n=("member_id", "size")).assign(calls=[1] + [0] * (f["edge_id"].nunique(dropna=False) - 1))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        got = flow.kernel(df, sizes, "edge_id long, n long, calls long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.edge_id is None, r.edge_id or 0, r.n) for r in got) == [(False, e, e % 40 + 1) for e in range(300)] + [(True, 0, 2)]
+    assert sum(r.calls for r in flow.kernel(df, sizes, "edge_id long, n long, calls long").collect()) < 30
+    frames = [pd.DataFrame({"edge_id": x}) for x in ([1, 1], [], [1, 2], [2], [3, 4], [4, 4], [5])]
+    assert [f["edge_id"].tolist() for f in flow.whole_edges(iter(frames))] == [[1, 1, 1], [2, 2, 3], [4, 4, 4], [5]]
+
+
 def test_overlap(inc):
     claims = inc.where("type = 'Claim'")
     assert {(r.left, r.right, r.overlap) for r in overlap.overlap_join(claims, 0).collect()} == {(E1, E2, 1), (E1, E3, 1), (E2, E3, 1)}
