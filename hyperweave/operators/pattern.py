@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hyperweave.operators.overlap import overlap_join
+
 _COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
 
@@ -88,6 +90,22 @@ def _met(inc: DataFrame, p: Pattern, a: str, b: str) -> DataFrame:
     return met.where(F.col(a) != F.col(b)) if (a, b) in p.apart or (b, a) in p.apart else met
 
 
+def _alike(p: Pattern, a: str, b: str) -> bool:
+    """Whether two variables stand for the same edges, none of them bound."""
+    return a != b and p.types.get(a) == p.types.get(b) and not {a, b} & set(p.constants)
+
+
+def _overlaps(inc: DataFrame, p: Pattern, a: str, b: str) -> DataFrame:
+    """Rows (a, b, n) for edges that share at least two members, both ways round, and an edge with itself where it may be."""
+    rows = _incidence(inc, p, a, timed=False)
+    pair = lambda x, y: F.struct(F.col(x).alias(a), F.col(y).alias(b), F.col("overlap").alias("n"))
+    out = overlap_join(rows, 2).select(F.explode(F.array(pair("left", "right"), pair("right", "left"))).alias("r")).select("r.*")
+    if (a, b) in p.apart or (b, a) in p.apart:
+        return out
+    own = rows.where("member_id is not null").groupBy("edge_id").agg(F.count("*").alias("n")).where("n > 1")
+    return out.union(own.select("edge_id", "edge_id", "n"))
+
+
 def match(inc: DataFrame, p: Pattern, atoms: DataFrame | None = None, product: bool = False) -> DataFrame:
     """Distinct bindings, one column for each variable. A type that no edge has matches nothing.
 
@@ -105,9 +123,19 @@ def match(inc: DataFrame, p: Pattern, atoms: DataFrame | None = None, product: b
             rows = rows.where(F.col("member_id") == p.constants[member])
         parts.append(rows.select(F.col("edge_id").alias(edge), F.col("member_id").alias(member)).distinct())
     for a, b, op, n in p.shares:
-        parts.append(_met(inc, p, a, b).groupBy(a, b).agg(F.count("*").alias("n")).where(getattr(F.col("n"), _COMPARE[op])(n)).select(a, b))
+        # Edges that share one member are too many to be listed where they don't count.
+        counted = _overlaps(inc, p, a, b) if _alike(p, a, b) and not getattr(1, _COMPARE[op])(n) else _met(inc, p, a, b).groupBy(a, b).agg(F.count("*").alias("n"))
+        parts.append(counted.where(getattr(F.col("n"), _COMPARE[op])(n)).select(a, b))
     for a, b in p.subsets:
         size = _incidence(inc, p, a, timed=False).groupBy(F.col("edge_id").alias(a)).agg(F.count("*").alias("size"))
+        if _alike(p, a, b):
+            rows = _incidence(inc, p, a, timed=False)
+            single = rows.groupBy("edge_id").agg(F.count("*").alias("n"), F.first("member_id").alias("member_id")).where("n = 1").select(F.col("edge_id").alias(a), "member_id")
+            within = single.join(rows.select(F.col("edge_id").alias(b), "member_id"), "member_id").select(a, b)
+            if (a, b) in p.apart or (b, a) in p.apart:
+                within = within.where(F.col(a) != F.col(b))
+            parts.append(_overlaps(inc, p, a, b).join(size, a).where("n = size").select(a, b).union(within))
+            continue
         parts.append(_met(inc, p, a, b).groupBy(a, b).agg(F.count("*").alias("n")).join(size, a).where("n = size").select(a, b))
     for edge in sorted({e for e, *_ in p.sizes}):
         rows = inc.where(F.col("type") == p.types[edge]) if p.types.get(edge) else inc
