@@ -318,7 +318,7 @@ def adjacent(spark, sf):
 
 
 _PAIRS = 'SELECT a.edge_id AS "left", b.edge_id AS "right", count(*) AS overlap FROM basket a JOIN basket b ON a.member_id = b.member_id AND a.edge_id < b.edge_id GROUP BY 1, 2 HAVING count(*) >= {}'
-query(f"SELECT overlap, count(*) AS pairs FROM ({_PAIRS.format(1)}) GROUP BY overlap", "overlap_join_t1")(lambda spark, sf: overlap.overlap_join(R.basket(spark, sf), 1).groupBy("overlap").agg(F.count("*").alias("pairs")))
+query(f"SELECT overlap, count(*) AS pairs FROM ({_PAIRS.format(1)}) GROUP BY overlap", "overlap_join_t1")(lambda spark, sf: overlap.overlap_histogram(R.basket(spark, sf)))
 for _t in (2, 3):
     query(_PAIRS.format(_t), f"overlap_join_t{_t}")(lambda spark, sf, t=_t: overlap.overlap_join(R.basket(spark, sf), t))
 query(_PAIRS.format(2), "overlap_join_prefix")(lambda spark, sf: overlap.overlap_join(R.basket(spark, sf), 2, prefix=True))

@@ -1,6 +1,7 @@
 """Graph operators on a small graph whose answers are worked out by hand, and the registered queries against SQL."""
 
 import math
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -98,6 +99,55 @@ def test_overlap(inc):
     assert overlap.adjacent(inc, ANN, BEN, 2).first()[0] and not overlap.adjacent(inc, ANN, CAT, 2).first()[0]
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Edges of 0 to 40 members out of 50, some alike, with weights."""
+    import random
+
+    rng = random.Random(8)
+    sizes = [1, 1, 2, 2, 3, 5, 16, 17, 30, 40]
+    edges = {100 + i: rng.sample(range(50), sizes[i % 10]) for i in range(60)} | {200: [1, 2, 3], 201: [1, 2, 3], 202: [1, 2, 3, 4], 203: [7], 204: [7]}
+    weights = {(e, m): rng.randint(1, 40) for e, ms in edges.items() for m in ms}
+    df = spark.createDataFrame([row(e, m, weight=w) for (e, m), w in weights.items()], R.INCIDENCE).cache()
+    pairs = {(a, b): [min(weights[a, m], weights[b, m]) for m in set(edges[a]) & set(edges[b])] for a in edges for b in edges if a < b}
+    return df, edges, {k: v for k, v in pairs.items() if v}
+
+
+def test_overlaps_of_small_and_large_edges(crowd):
+    df, edges, pairs = crowd
+    for t in (1, 2, 3, 6):
+        want = {k: len(v) for k, v in pairs.items() if len(v) >= t}
+        for prefix in (False, True):
+            assert {(r.left, r.right): r.overlap for r in overlap.overlap_join(df, t, prefix).collect()} == want
+    assert {r.overlap: r.pairs for r in overlap.overlap_histogram(df).collect()} == Counter(map(len, pairs.values()))
+    for t in (0.0, 20.0, 60.0):
+        assert sorted((r.left, r.right, r.weight_fp) for r in overlap.weighted_overlap(df, t).collect()) == sorted((*k, sum(v) * R.FIXED) for k, v in pairs.items() if sum(v) > t)
+    for k in (1, 2, 7):
+        each = {e: sorted((-len(v), b if a == e else a) for (a, b), v in pairs.items() if e in (a, b))[:k] for e in edges}
+        got = overlap.overlap_top(df, k).collect()
+        assert sorted((r.edge_id, r.place, r.partner, r.overlap) for r in got) == sorted((e, i, p, -n) for e, found in each.items() for i, (n, p) in enumerate(found, 1))
+
+
+def test_pairs_that_share_one_member_are_not_listed(crowd):
+    """Joins on a single member are left to what only large edges, single members or heavy weights bring in."""
+    import re
+
+    for df in (overlap.overlap_join(crowd[0], 2), match(crowd[0], Pattern().shared("a", "b", ">=", 2).distinct("a", "b"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert any("a#" in x and "b#" in x for x in re.findall(r"Join Inner.*", plan))
+
+
+def test_patterns_of_small_and_large_edges(crowd):
+    df, edges, pairs = crowd
+    sets = {e: set(m) for e, m in edges.items() if m}
+    for apart in (True, False):
+        done = lambda p: match(df, p.distinct("a", "b") if apart else p)
+        both = [(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if not (apart and a == b) and sets[a] & sets[b]]
+        for op, n, holds in ((">=", 2, lambda c: c >= 2), ("=", 3, lambda c: c == 3), ("<=", 2, lambda c: c <= 2), ("!=", 1, lambda c: c != 1)):
+            assert sorted((r.a, r.b) for r in done(Pattern().shared("a", "b", op, n)).collect()) == sorted((a, b) for a, b, c in both if holds(c))
+        assert sorted((r.a, r.b) for r in done(Pattern().subset("a", "b")).collect()) == sorted((a, b) for a, b, c in both if c == len(sets[a]))
+
+
 def test_structure(spark, inc):
     walk = structure.expand(inc, PATH, 3).orderBy("place").collect()
     assert [(r.atom, r.status) for r in walk] == [(ANN, "EMIT"), (ANN, "EMIT"), (BEN, "EMIT"), (PILL, "EMIT"), (BEN, "EMIT")]
