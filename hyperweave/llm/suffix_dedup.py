@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperweave.llm.common import _BASE, _INVERSE, filesystem, mix, partitions, powers, shared_dir, texts, written
+from hyperweave.sources.scratch import input_bytes
 
 GRAM = 20
 #: Bytes of text in a chunk (one document at least), and in what is hashed at once (a text at most is cut into such segments).
@@ -42,8 +43,8 @@ BATCH = 1 << 18
 HOT = 1 << 14
 #: Windows that are hashed at once.
 BLOCK = 1 << 15
-#: Bytes of input for each bucket, and what an estimate of the input is taken for at most.
-SHARE, LARGEST = 8 << 20, 256 << 30
+#: Bytes of input for each bucket.
+SHARE = 8 << 20
 _FLAGS = np.uint64(15)
 _POSITION = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -479,9 +480,8 @@ def _remove(uri: str, length: int, finish: Callable[[pa.Table, list, list], pa.T
 
 
 def _buckets(docs: DataFrame) -> int:
-    """A number that grows with partitions and with the input as the planner knows it, so that what meets in one bucket doesn't grow with either."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4 * partitions(docs.sparkSession), min(size, LARGEST) // SHARE)
+    """A number that grows with partitions and with the input, so that what meets in one bucket doesn't grow with the input."""
+    return max(4 * partitions(docs.sparkSession), input_bytes(docs) // SHARE)
 
 
 def _steps(docs: DataFrame, length: int, finish, schema) -> DataFrame:

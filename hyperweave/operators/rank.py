@@ -68,19 +68,21 @@ def rank(inc: DataFrame, slots: list[Slot], edges: DataFrame | None = None, at:
     for i, s in enumerate(slots):
         here = F.col("member_id") == s.atom if s.atom is not None else F.col("member_type") == s.type if s.type is not None else F.col("member_id").between(s.low, s.high)
         role = reduce(Column.__or__, [F.array_contains("roles", r) for r in s.roles], F.lit(False)) if s.roles else F.lit(True)
-        value = F.when(here, F.struct(F.when(role, 2).otherwise(1).alias("value"), when.alias("time")))
-        fills.append(F.max(value).alias(f"slot{i}"))
+        # Plain numbers, as an aggregation of structs has to sort all rows.
+        fills.append(F.max(F.when(here, F.when(role, 2).otherwise(1))).alias(f"slot{i}"))
+        if timed:
+            fills += [F.max(F.when(here & role, when)).alias(f"fit{i}"), F.max(F.when(here, when)).alias(f"time{i}")]
     filled = inc.groupBy("edge_id").agg(F.count("*").alias("n"), *fills)
     for i, s in enumerate(slots):
         if s.required:
-            filled = filled.where(F.coalesce(F.col(f"slot{i}.value"), F.lit(0)) == 2)
+            filled = filled.where(F.coalesce(f"slot{i}", F.lit(0)) == 2)
     total = sum(s.weight for s in slots)
     add = lambda xs: reduce(Column.__add__, xs)
-    got = [F.coalesce(F.col(f"slot{i}.value"), F.lit(0)) for i in range(len(slots))]
+    got = [F.coalesce(f"slot{i}", F.lit(0)) for i in range(len(slots))]
     share = lambda least: add([F.when(g >= least, s.weight).otherwise(0.0) for g, s in zip(got, slots, strict=True)])
     parts: dict[str, Column] = {"members": share(1) / total, "roles": share(2) / total}
     if timed:
-        held = add([F.when(g > 0, s.weight * F.col(f"slot{i}.time")).otherwise(0.0) for i, (g, s) in enumerate(zip(got, slots, strict=True))])
+        held = add([F.when(g > 0, s.weight * F.when(g == 2, F.col(f"fit{i}")).otherwise(F.col(f"time{i}"))).otherwise(0.0) for i, (g, s) in enumerate(zip(got, slots, strict=True))])
         parts["time"] = F.when(share(1) > 0, held / share(1)).otherwise(0.0)
     if prefer:
         filled = filled.join(edges.withColumnRenamed("atom_id", "edge_id").select("edge_id", *{p.name for p in prefer}), "edge_id", "left")  # type: ignore[union-attr]
