@@ -50,13 +50,14 @@ def expand(inc: DataFrame, edge: int, depth: int = 4, budget: int | None = None,
 def closure(inc: DataFrame, edge: int, dim: int, limit: int | None = None) -> DataFrame:
     """All subsets of an edge's members of 1 to dim + 1 members, as arrays in membership order, with their size.
 
-    Subsets grow by a later member at a time, so each comes once. `limit` takes the first by size, then order.
+    Subsets grow by a later member at a time, so each comes once. `limit` takes the first by size, then order. The members of
+    the one edge, of which there are at most as many as subsets, go to all tasks, and the subsets are dealt out.
     """
     base = inc.where(F.col("edge_id") == edge).select(F.struct("pos", "member_id").alias("by"))
     subsets = base.select(F.array("by").alias("places"))
     out = subsets
     for _ in range(dim):
-        subsets = subsets.join(base, F.element_at("places", -1) < F.col("by")).select(F.concat("places", F.array("by")).alias("places"))
+        subsets = subsets.repartition("places").join(F.broadcast(base), F.element_at("places", -1) < F.col("by")).select(F.concat("places", F.array("by")).alias("places"))
         out = out.union(subsets)
     rows = out.select(F.size("places").cast("long").alias("size"), F.col("places.member_id").alias("members"), "places")
     if limit is not None:
