@@ -7,8 +7,11 @@ of the same edge and member replaces an earlier one. Everything here is aggregat
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hyperweave.sources.scratch import spread
+
 KEY = ["edge_id", "member_id"]
 PAYLOAD = ["type", "kind", "pos", "roles", "weight_fp", "valid_from", "valid_to", "qualifier"]
 
@@ -67,29 +70,34 @@ def merge(base: DataFrame, source: DataFrame, target: DataFrame, on_conflict: st
     """
     if on_conflict not in ("FAIL", "SOURCE", "TARGET"):
         raise ValueError(on_conflict)
-    theirs, ours = _changes(base, source), _changes(base, target)
-    gone = lambda now: base.select("edge_id").distinct().join(now.select("edge_id").distinct(), "edge_id", "left_anti")
-    theirs_gone, ours_gone = gone(source), gone(target)
-    none = F.lit(None).cast("long").alias("member_id")
-    contested = theirs.join(theirs_gone, "edge_id", "left_anti").join(ours_gone, "edge_id", "left_anti").join(ours.select(*KEY), KEY, "left_semi").select(*KEY)
-    deleted = theirs_gone.join(ours.select("edge_id").distinct(), "edge_id", "left_semi").join(ours_gone, "edge_id", "left_anti")
-    modified = ours_gone.join(theirs.select("edge_id").distinct(), "edge_id", "left_semi").join(theirs_gone, "edge_id", "left_anti")
-    conflicts = contested.select(*KEY, F.lit("membership").alias("conflict"))
-    conflicts = conflicts.union(deleted.select("edge_id", none, F.lit("deleted-while-modified"))).union(modified.select("edge_id", none, F.lit("modified-while-deleted")))
+    sides = {"was": base, "theirs": source, "ours": target}
+    tagged = [df.select(*KEY, F.lit(name).alias("side"), F.struct(*PAYLOAD).alias("row")) for name, df in sides.items()]
+    # One shuffle by edge: memberships side by side, and what is said of their whole edge.
+    rows = spread(tagged[0].union(tagged[1]).union(tagged[2]), "edge_id").groupBy(*KEY).agg(*[F.max(F.when(F.col("side") == name, F.col("row"))).alias(name) for name in sides])
+    by = W.partitionBy("edge_id")
+    some = lambda c: F.max(c).over(by)
+    was, theirs, ours = (F.col(name) for name in sides)
+    rows = rows.select("*", (~was.eqNullSafe(theirs)).alias("changed"), (~was.eqNullSafe(ours)).alias("touched"), F.coalesce("theirs", "was").alias("row"))
+    there = lambda c: some(c.isNotNull())
+    rows = rows.select("*", (there(was) & ~there(theirs)).alias("theirs_gone"), (there(was) & ~there(ours)).alias("ours_gone"), some(F.col("changed")).alias("any_changed"), some(F.col("touched")).alias("any_touched"), some(F.col("changed") & F.col("touched")).alias("any_both"), some(F.col("changed") & (F.col("row.kind") == "ORDERED")).alias("moved"))
+    changed, touched, theirs_gone, ours_gone = (F.col(c) for c in ("changed", "touched", "theirs_gone", "ours_gone"))
+    contested, deleted, modified = changed & touched & ~theirs_gone & ~ours_gone, theirs_gone & F.col("any_touched") & ~ours_gone, ours_gone & F.col("any_changed") & ~theirs_gone
+    conflict = F.when(contested, "membership").when(deleted, "deleted-while-modified").when(modified, "modified-while-deleted")
+    conflicts = rows.select("edge_id", F.when(contested, F.col("member_id")).alias("member_id"), conflict.alias("conflict")).where("conflict is not null").distinct()
     if on_conflict == "FAIL" and conflicts.limit(1).count():
         raise ValueError("both sides changed the same memberships or edges")
-    taken = theirs.join(ours_gone, "edge_id", "left_anti")
-    ordered = taken.where("kind = 'ORDERED'").select("edge_id").distinct().join(theirs_gone, "edge_id", "left_anti")
+    taken = changed & ~ours_gone
+    ordered = F.coalesce(F.col("moved"), F.lit(False)) & ~ours_gone & ~theirs_gone
     if on_conflict == "TARGET":
-        taken = taken.join(contested, KEY, "left_anti").join(deleted, "edge_id", "left_anti")
-        taken = taken.join(contested.join(ordered, "edge_id", "left_semi").select("edge_id").distinct(), "edge_id", "left_anti")
-        ordered = ordered.join(contested.select("edge_id").distinct(), "edge_id", "left_anti")
+        taken = taken & ~contested & ~deleted & ~(F.col("any_both") & ordered)
+        ordered = ordered & ~F.col("any_both")
     # What the parent holds of an edge that goes or comes whole and the branch doesn't have is removed, too.
-    whole = ordered if on_conflict == "TARGET" else ordered.union(theirs_gone.join(ours_gone, "edge_id", "left_anti"))
-    extra = target.join(whole, "edge_id", "left_semi").join(source.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("REMOVE").alias("op"), *PAYLOAD)
-    every = source.join(ordered, "edge_id", "left_semi").select(*KEY, F.lit("PUT").alias("op"), *PAYLOAD)
-    single = taken.join(whole, "edge_id", "left_anti")
-    return single.select(*KEY, "op", *PAYLOAD).union(every).union(extra), conflicts
+    whole = ordered if on_conflict == "TARGET" else ordered | theirs_gone & ~ours_gone
+    extra = whole & theirs.isNull() & ours.isNotNull()
+    every = ordered & theirs.isNotNull()
+    op = F.when(extra, "REMOVE").when(every, "PUT").when(~whole & taken, F.when(theirs.isNull(), "REMOVE").otherwise("PUT"))
+    out = rows.select(*KEY, op.alias("op"), F.when(extra, ours).otherwise(F.col("row")).alias("row")).where("op is not null")
+    return out.select(*KEY, "op", *[F.col(f"row.{c}").alias(c) for c in PAYLOAD]), conflicts
 
 
 def merge_rows(base: DataFrame, source: DataFrame, target: DataFrame, key: list[str], on_conflict: str = "FAIL") -> tuple[DataFrame, DataFrame]:
@@ -107,14 +115,6 @@ def merge_rows(base: DataFrame, source: DataFrame, target: DataFrame, key: list[
     return taken.select(op.alias("op"), *key, *[F.col(f"theirs.{c}").alias(c) for c in fields]), conflicts
 
 
-def _changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    a = old.select(*KEY, F.struct(*PAYLOAD).alias("old"))
-    b = new.select(*KEY, F.struct(*PAYLOAD).alias("new"))
-    both = a.join(b, KEY, "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    row = F.coalesce("new", "old")
-    return both.select(*KEY, F.when(F.col("new").isNull(), "REMOVE").otherwise("PUT").alias("op"), row.alias("row")).select(*KEY, "op", "row.*")
-
-
 def history(commits: DataFrame, n: int = 20) -> DataFrame:
     """The last n commits, newest first."""
     last = commits.agg(F.max("gen").alias("last"))
@@ -123,8 +123,6 @@ def history(commits: DataFrame, n: int = 20) -> DataFrame:
 
 def member_changes(log: DataFrame) -> DataFrame:
     """Each log row as +1 or -1: a put that adds a membership, a removal of one that was there; 0 for an update."""
-    from pyspark.sql import Window as W
-
     by = W.partitionBy("branch", *KEY).orderBy("gen")
     before = F.coalesce(F.lag("op").over(by), F.lit("REMOVE"))
     delta = F.when((F.col("op") == "PUT") & (before == "REMOVE"), 1).when((F.col("op") == "REMOVE") & (before == "PUT"), -1).otherwise(0)

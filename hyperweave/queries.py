@@ -514,9 +514,10 @@ def _log(spark, sf):
     """A log in which each basket is put in the generation of its order's year, and some are removed later."""
     years = R.table(spark, sf, "orders").select(R.atom("Basket", "o_orderkey").alias("edge_id"), F.year("o_orderdate").cast("long").alias("gen"), (F.col("o_orderkey") % 5 == 0).alias("gone"), R.millis("o_orderdate").alias("at"))
     rows = R.basket(spark, sf).join(years, "edge_id").withColumn("branch", F.lit("main"))
-    put = rows.withColumn("op", F.lit("PUT"))
-    removed = rows.where("gone").withColumn("gen", F.col("gen") + 1).withColumn("at", F.col("at") + 365 * DAY).withColumn("op", F.lit("REMOVE"))
-    return put.union(removed.select(*put.columns)).drop("gone")
+    put = F.struct(F.lit("PUT").alias("op"), F.col("gen").alias("gen"), F.col("at").alias("at"))
+    removed = F.struct(F.lit("REMOVE").alias("op"), (F.col("gen") + 1).alias("gen"), (F.col("at") + 365 * DAY).alias("at"))
+    each = F.when(F.col("gone"), F.array(put, removed)).otherwise(F.array(put))
+    return rows.select(*[c for c in rows.columns if c not in ("gone", "gen", "at")], F.inline(each))
 
 
 _SNAP = "SELECT edge_id, member_id FROM basket JOIN orders ON edge_id = 120000000000 + o_orderkey WHERE year(o_orderdate) <= {0} AND NOT (o_orderkey % 5 = 0 AND year(o_orderdate) + 1 <= {0})"

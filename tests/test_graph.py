@@ -296,6 +296,48 @@ def test_diff_of_one_log_equals_diff_of_snapshots(spark, inc):
         assert sorted(map(str, want.collect())) == sorted(map(str, temporal.diff_between(log, a, b).collect()))
 
 
+def plan_of(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_merge_shuffles_its_three_sides_once(inc):
+    changes, conflicts = temporal.merge(inc, inc.where("member_id <> 3"), inc, "TARGET")
+    assert "Join" not in plan_of(changes) and plan_of(changes).count("Repartition") == 1
+    assert sorted((r.edge_id, r.member_id, r.op) for r in changes.collect()) == [(E2, CAT, "REMOVE"), (E3, CAT, "REMOVE")]
+    assert conflicts.count() == 0
+
+
+def test_rank_sorts_no_rows(inc):
+    for asked in ({}, {"at": 150}):
+        found = ranking.rank(inc, [ranking.Slot(ANN, roles=("buyer",)), ranking.Slot(BEN)], size=3, **asked)
+        assert "SortAggregate" not in plan_of(found, "executedPlan")
+
+
+def test_subsets_meet_members_without_a_product_of_partitions(spark, inc):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = structure.closure(inc, E1, 2)
+        assert "CartesianProduct" not in plan_of(found, "executedPlan")
+        assert found.count() == 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_tasks_grow_with_the_tables_read(spark, tmp_path, monkeypatch):
+    from hyperweave.sources import scratch
+
+    spark.range(10).selectExpr("id as l_orderkey", "id as l_partkey", "id as l_suppkey", "1.0D as l_quantity", "timestamp '2000-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(10).selectExpr("id as o_orderkey", "id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    tables = [R.order(spark, str(tmp_path)), R.basket(spark, str(tmp_path))]
+    size = [scratch.input_bytes(df) for df in tables]
+    assert min(size) > 1000 and scratch.input_bytes(tables[0].join(tables[1], "edge_id")) == sum(size)
+    monkeypatch.setattr(scratch, "SHARE", 100)
+    for make, n in ((R.order, size[0]), (R.basket, size[1])):
+        assert f", {n // 100}" in plan_of(make(spark, str(tmp_path)))
+    assert tables[0].count() == 30
+
+
 def test_semantic(spark):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, None)], "atom_id long, text string")
     near = semantic.nearest(semantic.embed(docs, 64), semantic.encode_text("Red APPLE", 64).tolist(), 3).collect()
